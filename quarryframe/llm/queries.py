@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op8_line_dedup": op8_line_dedup,
 }
 ORACLE = {
+    "op2_warc": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
 }
