@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op6_best_fit_packing
+from .quality import op5_quality_classifier
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
 }
