@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontamination
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_classifier
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
