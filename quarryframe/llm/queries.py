@@ -6,6 +6,7 @@ from .decontaminate import op1_decontamination
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_classifier
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -14,8 +15,10 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE = {
     "op2_warc": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
