@@ -78,13 +78,18 @@ def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: digits, ASCII letters and every byte of other characters
+LETTER = np.zeros(256, bool)
+LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions in data) of the words of consecutive texts, and len + 1 offsets of texts into them.
-    A word is a maximal run of bytes that aren't space or \\x09-\\x0D; it never crosses texts."""
+    A word is a maximal run of member bytes (by default all but space and \\x09-\\x0D); it never crosses texts."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    is_word = ~SPACE[data]
+    is_word = member[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0] = edge[-1] = True
     np.not_equal(is_word[1:], is_word[:-1], out=edge[1:-1])

@@ -17,15 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, keep_rows, table
-from .npwords import LOWER, U, slices, span_hash, text_arrays
+from .npwords import LETTER, LOWER, U, slices, span_hash, text_arrays, words
 
 BITS = 16
 SHAPES = 9
 N_TEXT = (1 << BITS) + SHAPES
 META_BITS = 10
 N_META = 1 << META_BITS
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _KINDS = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(48, 58), b"*#$%&", b"!", b"|/\\<>{}[]=_~^", b" \t\n\r", b".,;:")]
 
 
@@ -75,19 +73,12 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> Sparse:
     """Features of consecutive whole texts."""
     n, size = len(offsets) - 1, np.diff(offsets)
     shapes = np.zeros((n, SHAPES))
-    words = np.zeros(n)
+    n_words = np.zeros(n)
     kinds = [np.concatenate([[0], np.cumsum(k[data], dtype=np.int64)]) for k in _KINDS]
     for j, c in enumerate(kinds):
         shapes[:, j] = (c[offsets[1:]] - c[offsets[:-1]]) / np.maximum(size, 1)
     if len(data):
-        letter = _LETTER[data]
-        edge = np.empty(len(data) + 1, bool)
-        edge[0] = edge[-1] = True
-        np.not_equal(letter[1:], letter[:-1], out=edge[1:-1])
-        edge[offsets] = True
-        cuts = np.flatnonzero(edge)
-        keep = letter[cuts[:-1]]
-        starts, ends = cuts[:-1][keep], cuts[1:][keep]
+        starts, ends, _ = words(data, offsets, LETTER)
         doc = np.searchsorted(offsets, starts, "right") - 1
         key = (doc.astype(np.int64) << BITS) | (span_hash(LOWER[data], starts, ends) >> U(64 - BITS)).astype(np.int64)
         key.sort()
@@ -95,13 +86,13 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> Sparse:
         count = np.diff(first, append=len(key))
         key = key[first]
         row, col, val = key >> BITS, key & ((1 << BITS) - 1), np.log1p(count)
-        words = np.bincount(doc, minlength=n)
+        n_words = np.bincount(doc, minlength=n)
         distinct = np.bincount(row, minlength=n)
         val /= np.sqrt(np.bincount(row, val * val, n))[row]
     else:
         row, col, val, distinct = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(n)
-    shapes[:, 7] = distinct / np.maximum(words, 1)
-    shapes[:, 8] = np.log1p(words) / 10
+    shapes[:, 7] = distinct / np.maximum(n_words, 1)
+    shapes[:, 8] = np.log1p(n_words) / 10
     at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) + SHAPES)])
     cols, vals = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32)
     own = np.arange(len(row)) + row * SHAPES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontamination
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .minhash import op10_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_classifier
 from .substring_dedup import OP9_SQL, op9_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE = {
     "op2_warc": OP2_SQL,
