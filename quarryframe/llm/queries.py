@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op3_ann
 from .decontaminate import op1_decontamination
 from .html_wrapper import op4_html_extraction
 from .line_dedup import OP8_SQL, op8_line_dedup
@@ -14,6 +15,7 @@ from .warc import OP2_SQL, op2_warc
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
+    "op3_ann": op3_ann,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
