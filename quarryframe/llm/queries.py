@@ -10,6 +10,7 @@ from .minhash import op10_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_classifier
 from .substring_dedup import OP9_SQL, op9_substring_dedup
+from .suffix_dedup import op7_suffix_array_dedup
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
