@@ -1,12 +1,61 @@
-"""The corpus pipeline: quality, lines, near duplicates, benchmark leaks, packing."""
+"""The corpus pipeline: quality, lines, near duplicates, benchmark leaks, packing.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quarryframe.llm import decontaminate, line_dedup, minhash, packing, quality
+from quarryframe.llm.common import stored, table, work_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the co-trained classifier, fitted on the labels, rejects go."""
+    return quality.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten or more different texts hold go from all of them. Copies of a text count once, so that a document
+    doesn't lose its lines for having been copied; that is for the next stage."""
+    runs = line_dedup.LineRuns(spark, work_path(spark, "line-runs"))
+    runs.add(docs, distinct_texts=True)
+    return line_dedup.without_frequent_lines(docs, runs, min_docs=10)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return minhash.keep_one(docs)
+
+
+def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item of the benchmark go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("minhash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", leak_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: A fitted classifier can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents, each one's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage{k}")
+    return docs

@@ -57,12 +57,20 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return safe.select(*[F.col(f"c{names.index(n)}").cast(kind).alias(n) for n, kind in wanted.items()])
 
 
-def keep_rows(df: DataFrame, flags: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Rows of df, with all its columns under their own names, whose key is (left_semi) or isn't (left_anti) in flags."""
+#: Keys up to this count are broadcast (some 40 MB); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def keep_rows(df: DataFrame, flags: DataFrame, key: str, how: str = "left_semi", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of df, with all its columns under their own names, whose key is (left_semi) or isn't (left_anti) among the
+    distinct keys in flags."""
     names = df.columns
     at = f"c{names.index(key)}"
     safe = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return safe.join(flags.select(F.col(key).alias("_key")), F.col(at).eqNullSafe(F.col("_key")), how).toDF(*names)
+    flags = stored(flags.select(F.col(key).alias("_key")), "flags")
+    if flags.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        flags = F.broadcast(flags)
+    return safe.join(flags, F.col(at).eqNullSafe(F.col("_key")), how).toDF(*names)
 
 
 def bytes_of(col: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, keep_rows, table
+from .common import columns, table
 
 #: An automaton holds items of about this many characters together (some 100 bytes each); more items take several passes.
 BLOCK_CHARS = 4_000_000
@@ -136,6 +136,16 @@ class Items:
         return found
 
 
+def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The test items in lists of about block_chars characters."""
+    items = columns(benchmark, item_id="long", text="string").filter(F.length(F.trim("text")) > 0).distinct()
+    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for k in range(blocks):
+        yield [(r.item_id, r.text) for r in items.filter(F.col("block") == k).select("item_id", "text").collect()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, budget: each pair of a document and a test item that occurs in it within its budget of
     floor(rate * length) edits, with the least distance found. Case and the kind of white space don't count.
@@ -144,22 +154,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     doc_ids are reported as null. Items that are more than block_chars together are searched for in several passes of
     bounded size."""
     d = columns(docs, doc_id="long", text="string")
-    items = columns(benchmark, item_id="long", text="string").filter(F.length(F.trim("text")) > 0).distinct()
-    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     out = None
-    for k in range(blocks):
-        # about block_chars characters
-        some = [(r.item_id, r.text) for r in items.filter(F.col("block") == k).select("item_id", "text").collect()]
-        one = _search(d, some, rate)
+    for some in item_blocks(benchmark, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(some)
+        one = d.mapInArrow(_searcher(sent, rate), MATCHES)
         out = one if out is None else out.unionAll(one)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.first("budget").alias("budget"))
 
 
-def _search(docs: DataFrame, some: list[tuple[int, str]], rate: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(some)
-
+def _searcher(sent, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(sent.value, rate)
         for b in batches:
@@ -170,12 +173,26 @@ def _search(docs: DataFrame, some: list[tuple[int, str]], rate: float) -> DataFr
                     rows += [(ids[n].as_py(), item_id, distance, items.budget[i]) for item_id in items.ids[i]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], MATCHES_ARROW.field(k).type) for k in range(4)], schema=MATCHES_ARROW)
 
-    return docs.mapInArrow(run, MATCHES)
+    return run
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs, with all columns, without the rows that hold a test item: one pass for each block of items, no shuffle."""
+    names = docs.columns
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index("text")
+
+    def filterer(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(sent.value, rate)
+            for b in batches:
+                yield b.filter(pa.array([not items.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
 
+        return run
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """docs, with all columns, without the documents that hold a test item."""
-    return keep_rows(docs, contaminated(docs, benchmark, rate).select("doc_id").distinct(), "doc_id", "left_anti")
+    for some in item_blocks(benchmark, block_chars):
+        safe = safe.mapInArrow(filterer(docs.sparkSession.sparkContext.broadcast(some)), safe.schema)
+    return safe.toDF(*names)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

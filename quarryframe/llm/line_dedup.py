@@ -60,11 +60,11 @@ class LineRuns:
     def _write(self, df: DataFrame, name: str) -> None:
         df.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(f"{self.path}/{name}")
 
-    def add(self, docs: DataFrame) -> str:
-        """Adds a batch as one sorted run, then merges full levels."""
+    def add(self, docs: DataFrame, distinct_texts: bool = False) -> str:
+        """Adds a batch as one sorted run, then merges full levels. With distinct_texts, equal texts of the batch count once."""
         batch = max([int(n.split("-")[2]) for _, n in self.runs()], default=-1) + 1
         name = f"L0-{batch}-{batch}"
-        self._write(document_counts(docs), name)
+        self._write(document_counts(docs, distinct_texts=distinct_texts), name)
         self.compact()
         return name
 
@@ -104,22 +104,30 @@ class LineRuns:
         return lines.select("doc_id", "pos", "line")
 
 
-def document_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(h1, h2, n): for each key of at least one code point, how many rows of docs hold it."""
+def document_counts(docs: DataFrame, min_chars: int = 1, distinct_texts: bool = False) -> DataFrame:
+    """(h1, h2, n): for each key of at least one code point, how many rows of docs, or different texts, hold it."""
     d = columns(docs, doc_id="long", text="string")
     keys = F.array_distinct(line_keys(F.coalesce("text", F.lit(""))))
     if min_chars > 0:
         keys = F.filter(keys, lambda k: ~k["empty"])
+    if distinct_texts:
+        lines = d.select(F.xxhash64("text").alias("t"), F.explode(keys).alias("k"))
+        return lines.select("t", "k.h1", "k.h2").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"))
     return d.select(F.explode(keys).alias("k")).groupBy("k.h1", "k.h2").agg(F.count("*").alias("n"))
 
 
-def drop_frequent_lines(docs: DataFrame, runs: LineRuns, min_docs: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """doc_id, lines (all), kept (text of the lines that stay), n_dropped for every row of docs.
+def drop_frequent_lines(docs: DataFrame, runs: LineRuns, min_docs: int, broadcast_keys: int = BROADCAST_KEYS, whole_rows: bool = False) -> DataFrame:
+    """doc_id, n_lines (all), n_dropped, kept (text of the lines that stay) for every row of docs; with whole_rows also `row`,
+    a struct of all columns in their order, c0, c1 and so on.
 
     Null text is one empty line. Empty keys are never dropped. A row that repeats another counts as a document of its own
     and is returned again; a null doc_id is kept as such. Frequent keys are broadcast only when counted to be at most
     `broadcast_keys`; otherwise the hashes shuffle, and adaptive execution splits the partition of a hot key."""
-    d = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    names = docs.columns
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    row = [F.struct(*safe.columns).alias("row")] if whole_rows else []
+    d = safe.select(doc_id.cast("long").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), *row)
     hot = runs.frequent(min_docs)
     few = hot.limit(broadcast_keys + 1).count() <= broadcast_keys
     hot = F.broadcast(hot) if few else hot
@@ -128,11 +136,24 @@ def drop_frequent_lines(docs: DataFrame, runs: LineRuns, min_docs: int, broadcas
     hits = lines.select("doc_id", "t", "pos", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).join(hot, ["h1", "h2"], "left_semi")
     hits = hits.groupBy(F.col("doc_id").alias("id"), F.col("t").alias("t2")).agg(F.collect_set("pos").alias("drop"))
     joined = d.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("t2")), "left")
-    lines = F.split("text", "\n", -1)
-    joined = joined.select("doc_id", "text", lines.alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    rest = ["row"] if whole_rows else []
+    joined = joined.select("doc_id", "text", F.split("text", "\n", -1).alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"), *rest)
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     kept = F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"), kept.alias("kept"))
+    return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"), kept.alias("kept"), *rest)
+
+
+def without_frequent_lines(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
+    """docs, with all columns, without their frequent lines; n_chars, if there, follows the text. Rows of which nothing but
+    blanks is left, though they had text, go. A row that loses no line is as it was."""
+    names = docs.columns
+    out = drop_frequent_lines(docs, runs, min_docs, whole_rows=True)
+    out = out.filter((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(BLANK)) != ""))
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    first = {n: names.index(n) for n in new if n in names}
+    cols = [F.when(changed, new[n].cast(docs.schema[i].dataType)).otherwise(F.col(f"row.c{i}")) if first.get(n) == i else F.col(f"row.c{i}") for i, n in enumerate(names)]
+    return out.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).toDF(*names)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, keep_rows, table
+from .common import columns, table
 from .npwords import LETTER, LOWER, U, slices, span_hash, text_arrays, words
 
 BITS = 16
@@ -290,10 +290,24 @@ def classify(docs: DataFrame, model: bytes | None, settings: Settings = Settings
 
 
 def reject(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs, with all columns, without the rows that the classifier rejects. A row whose doc_id is rejected in one copy and
-    kept in another goes with each such copy; null doc_ids stay or go together."""
-    verdict = classify(docs, train(docs, labels, settings), settings).filter(~F.col("keep")).select("doc_id").distinct()
-    return keep_rows(docs, verdict, "doc_id", "left_anti")
+    """docs, with all columns, without the rows that the classifier rejects, in one pass over them; nothing is shuffled."""
+    model = train(docs, labels, settings)
+    if model is None:
+        return docs
+    names = docs.columns
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    used = {k: (F.col(f"c{names.index(k)}") if k in names else F.lit(None)).cast("string").alias(k) for k in ("text", "source", "lang")}
+    wide = safe.select("*", *used.values(), F.char_length(used["text"]).cast("long").alias("n_chars"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    width = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _load(sent.value)
+        for b in batches:
+            keep = np.concatenate([score(own, text, meta)[2] >= settings.threshold for _, _, text, meta in _views(b)] or [np.zeros(0, bool)])
+            yield b.select(range(width)).filter(pa.array(keep))
+
+    return wide.mapInArrow(run, safe.schema).toDF(*names)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
