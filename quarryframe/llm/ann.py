@@ -272,13 +272,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settin
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
+        def products(a: np.ndarray, b: np.ndarray, step: int = 20_000) -> np.ndarray:
+            parts = [np.einsum("nd,nd->n", q[a[i : i + step]], x[b[i : i + step]]) for i in range(0, len(a), step)]
+            return np.concatenate(parts) if parts else np.zeros(0)
+
         def shrink() -> None:
             """Keeps the k best of each query, by exact scores that don't depend on a row's place."""
             nonlocal kept, size
             a, b = (np.concatenate([p[c] for p in kept]) for c in (0, 1))
-            pair = np.unique(np.column_stack([a, b]), axis=0)
-            a, b = pair[:, 0], pair[:, 1]
-            exact = np.einsum("nd,nd->n", q[a], x[b])
+            pair = np.unique(a * len(x) + b)
+            a, b = pair // len(x), pair % len(x)
+            exact = products(a, b)
             order = np.lexsort((ids[b], -exact, a))
             a, b, exact = a[order], b[order], exact[order]
             # one row may lie here in several tables: an id counts once
@@ -294,8 +298,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settin
 
         for lo, hi in zip(runs[:-1], runs[1:], strict=True):
             c, who = which[lo], by_query[lo:hi]
-            for base in range(0, len(who), 512):
-                w = who[base : base + 512]
+            for base in range(0, len(who), 128):
+                w = who[base : base + 128]
                 found = q[w] @ x[at[c] : end[c]].T
                 found[q_ids[w][:, None] == ids[None, at[c] : end[c]]] = -np.inf
                 bar = least[w]
@@ -304,13 +308,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settin
                 i, j = np.nonzero((found >= (bar - 1e-9 * np.maximum(1, np.abs(bar)))[:, None]) & (found > -np.inf))
                 kept.append((w[i], at[c] + j))
                 size += len(i)
-            if size > 2_000_000:
+            if size > 500_000:
                 shrink()
         if not kept:
             return schema.empty_table()
         shrink()
         a, b = kept[0]
-        return pa.table([q_ids[a], ids[b], np.einsum("nd,nd->n", q[a], x[b])], schema=schema)
+        return pa.table([q_ids[a], ids[b], products(a, b)], schema=schema)
 
     held = rows.mapInArrow(index, "part long, cell long, id long, v binary")
     wanted = asked.mapInArrow(ask, "part long, query_id long, v binary, cells binary")
