@@ -24,9 +24,9 @@ from .npwords import U, byte_gram_hash, inside, sliding_min, slices, span_hash,
 from .substring_dedup import _isin, _known, groups, top
 
 LENGTH, PIECE = 50, 16
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Stretches under one piece that make it hot, and bytes of stretches that are transformed and merged at a time.
-HOT, MERGE_BYTES = 20_000, 2 << 20
+HOT, MERGE_BYTES = 10_000, 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 MASK = U(0xFFFFFFFF)
@@ -72,7 +72,8 @@ def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
     if not len(key):
         return none, none, none
     start = np.cumsum(size) - size
-    same = span_hash(data, start, start + size)
+    bounds = np.append(start, start[-1] + size[-1])
+    same = np.concatenate([span_hash(data[bounds[i] : bounds[j]], start[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]) for i, j in slices(bounds, 1 << 20)])
     order = np.lexsort((doc, size, same, key))
     first = groups(key[order], same[order], size[order])
     group = np.empty(len(key), np.int64)
@@ -144,7 +145,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
             data, offsets = text_arrays(b.column("text"))
             chunk = b.column("chunk").to_numpy()
             found = []
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, 1 << 20):
                 o = offsets[i : j + 1] - offsets[i]
                 key, at, _ = stretches(data[offsets[i] : offsets[j]], o, length, piece)
                 found.append((name_of(key, n_buckets), chunk[i + np.searchsorted(o, at, "right") - 1]))
@@ -192,7 +193,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
         doc, data, offsets, _ = _chunk_texts(t)
         known, hot_keys = _known(hit.column("keys")), _known(hit.column("hot"))
         found = []
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, 1 << 20):
             lo, o = int(offsets[i]), offsets[i : j + 1] - offsets[i]
             part = data[lo : offsets[j]]
             key, at, n = stretches(part, o, length, piece)
