@@ -115,7 +115,7 @@ def field_condition(r: Resolver, path: str, op: str, value: Any) -> Column:
     if op == "$all":
         if not isinstance(v.type, T.ArrayType):
             return F.lit(False)
-        return reduce(lambda a, b: a & b, [F.exists(v.col, lambda x, w=w: certainly(equals(Typed(x, v.type.elementType), w))) for w in value], F.lit(True))
+        return reduce(lambda a, b: a & b, [_holds(v, w) for w in value], F.lit(True))
     if op == "$elemMatch":
         if not isinstance(v.type, T.ArrayType):
             return F.lit(False)
@@ -123,6 +123,10 @@ def field_condition(r: Resolver, path: str, op: str, value: Any) -> Column:
     raise ValueError(f"unknown operator {op}")
 
 
+def _holds(v: Typed, value: Any) -> Column:
+    return F.exists(v.col, lambda x: certainly(equals(Typed(x, v.type.elementType), value)))
+
+
 def _element(x: Column, kind: T.DataType, spec: dict) -> Column:
     if isinstance(kind, T.StructType) and not any(k in FIELD_OPERATORS for k in spec):
         inner = _Lambda(x, kind)
