@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bwt import merge_shards
 from .common import columns, table, total_bytes
-from .npwords import U, byte_gram_hash, inside, sliding_min, slices, span_hash, text_arrays
+from .npwords import U, byte_gram_hash, inside, mix, sliding_min, slices, span_hash, text_arrays
 from .substring_dedup import _isin, _known, groups, top
 
 LENGTH, PIECE = 50, 16
@@ -32,6 +32,15 @@ RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_r
 MASK = U(0xFFFFFFFF)
 
 
+def packed(raw: bytes) -> bytes:
+    """Stretches travel compressed; the shuffle's own codec gains little on them."""
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpacked(blob: pa.Buffer, size: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(blob, size, asbytes=True) if size else b"", np.uint8)
+
+
 def name_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
     """Bucket and low half of a hash in 64 bits."""
     return (top(key, n_buckets).astype(U) << U(32)) | (key & MASK)
@@ -50,7 +59,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, piece: int) ->
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    return key[first], at[first], np.diff(first, append=len(at))
+    # a minimum of hashes is small; mixed again it spreads over all buckets
+    return mix(key[first]), at[first], np.diff(first, append=len(at))
 
 
 def _chunk_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
@@ -234,13 +244,14 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
         for p, q in zip(cut[:-1], cut[1:], strict=True):
             ends = np.cumsum(size[p:q])
             pick = np.repeat(at[p:q] - ends + size[p:q], size[p:q]) + np.arange(ends[-1])
-            rows.append((int(bucket[p]), chunk, name[p:q].astype(np.uint32).tobytes(), own_doc[p:q].tobytes(), ordinal[p:q].astype(np.int32).tobytes(), place[p:q].tobytes(), size[p:q].astype(np.int32).tobytes(), data[pick].tobytes(), b"", b"", b""))
+            rows.append((int(bucket[p]), chunk, name[p:q].astype(np.uint32).tobytes(), own_doc[p:q].tobytes(), ordinal[p:q].astype(np.int32).tobytes(), place[p:q].tobytes(), size[p:q].astype(np.int32).tobytes(), packed(data[pick].tobytes()), b"", b"", b""))
         if len(lost[0]):
             rows.append((chunk % n_buckets, chunk, b"", b"", b"", b"", b"", b"", *lost))
         return pa.table([pa.array([r[k] for r in rows], pa.binary() if k > 1 else pa.int64()) for k in range(11)], names=["bucket", "chunk", "key", "doc", "ordinal", "place", "size", "data", "l_ordinal", "l_place", "l_n"])
 
     def losers(t: pa.Table) -> pa.Table:
-        part = {k: [np.frombuffer(x, kind) for x in t.column(k).to_pylist()] for k, kind in (("key", np.uint32), ("doc", np.int64), ("ordinal", np.int32), ("place", np.int32), ("size", np.int32), ("data", np.uint8), ("l_ordinal", np.int32), ("l_place", np.int32), ("l_n", np.int32))}
+        part = {k: [np.frombuffer(x, kind) for x in t.column(k).to_pylist()] for k, kind in (("key", np.uint32), ("doc", np.int64), ("ordinal", np.int32), ("place", np.int32), ("size", np.int32), ("l_ordinal", np.int32), ("l_place", np.int32), ("l_n", np.int32))}
+        part["data"] = [unpacked(x.as_buffer(), int(n.sum())) for x, n in zip(t.column("data"), part["size"], strict=True)]
         key, doc, ordinal, place, size, data = (np.concatenate(part[k]) for k in ("key", "doc", "ordinal", "place", "size", "data"))
         chunk = np.repeat(t.column("chunk").to_numpy(), [len(x) for x in part["key"]])
         who, first, n = lost_strings(key, doc, size.astype(np.int64), data, length)
