@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +30,17 @@ _KINDS = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(48, 58
 
 @dataclass(frozen=True)
 class Settings:
-    """max_labelled and max_unlabelled bound the samples that are fitted; nothing else depends on them."""
+    """max_labelled and max_unlabelled bound the samples that are fitted; nothing else depends on them. A document is rejected
+    when its probability of being good is under the threshold."""
 
-    max_labelled: int = 16_000
-    max_unlabelled: int = 8_000
+    max_labelled: int = 12_000
+    max_unlabelled: int = 6_000
     rounds: int = 3
     confident: float = 0.95
-    per_round: int = 1_000
+    per_round: int = 500
     held_out: float = 0.25
     steps: int = 80
-    threshold: float = 0.5
+    threshold: float = 0.1
 
 
 @dataclass
@@ -119,11 +121,11 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(x: Sparse, y: np.ndarray, n: int, steps: int, start: np.ndarray | None = None, l2: float = 1e-6, rate: float = 0.5) -> np.ndarray:
+def fit(x: Sparse, y: np.ndarray, n: int, steps: int, start: np.ndarray | None = None, l2: float = 2e-5, rate: float = 0.5) -> np.ndarray:
     """Weights and, last, the intercept, by Adam over all rows; classes weigh alike."""
     w = np.zeros(n + 1) if start is None else start.copy()
     m, v = np.zeros(n + 1), np.zeros(n + 1)
-    rows, col, val = x.rows, x.col, x.val.astype(np.float64)
+    rows, col, val = x.rows.astype(np.int32), x.col, x.val
     share = np.clip(np.array([np.mean(y == 0), np.mean(y == 1)]), 0.02, 1)
     weight = (0.5 / share)[y.astype(int)] / max(len(y), 1)
     for t in range(1, steps + 1):
@@ -145,12 +147,27 @@ def platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool_text: Sparse, pool_meta: Sparse, s: Settings) -> dict[str, np.ndarray]:
-    """The model. y is 0 or 1; which rows are held out for calibration follows from their order only."""
+def log_ratios(x: Sparse, y: np.ndarray, n: int, free: int, sure: float = 2.0) -> np.ndarray:
+    """For each column how much commoner it is in rows of class 1, as a logarithm; 0 if that isn't `sure` standard errors
+    from chance. The last `free` columns, which all rows have, keep 1. A regression on columns so scaled hears the few words
+    that tell, and not the many that are rare (Wang and Manning 2012)."""
+    good = y[x.rows] == 1
+    a, b = np.bincount(x.col[good], minlength=n) + 1.0, np.bincount(x.col[~good], minlength=n) + 1.0
+    r = np.log(a / (np.sum(y == 1) + 2)) - np.log(b / (np.sum(y == 0) + 2))
+    r[np.abs(r) < sure * np.sqrt(1 / a + 1 / b)] = 0
+    r[n - free :] = 1
+    return r
+
+
+def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool_text: Sparse, pool_meta: Sparse, s: Settings, good_share: float | None = None) -> dict[str, np.ndarray]:
+    """The model. y is 0 or 1; which rows are held out for calibration follows from their order only. good_share is that of
+    class 1 where the model is to be used, if the rows here were chosen by class."""
     held = (np.arange(len(y)) * 0.6180339887 % 1) < s.held_out
     if held.all() or not held.any():
         held = np.zeros(len(y), bool)
     learn, calibrate = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
+    ratio = log_ratios(text.take(learn), y[learn], N_TEXT, SHAPES)
+    text, pool_text = (Sparse(x.at, x.col, x.val * ratio[x.col].astype(np.float32)) for x in (text, pool_text))
     views = {"text": (text, pool_text, N_TEXT), "meta": (meta, pool_meta, N_META)}
     extra = {k: (np.zeros(0, int), np.zeros(0)) for k in views}
     weights: dict[str, np.ndarray | None] = dict.fromkeys(views)
@@ -179,6 +196,12 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool_text: Sparse, pool_
         model[k], model[f"{k}_scale"] = weights[k], np.array([a, b])
         logits.append(a * z + b)
     model["both"] = platt(np.column_stack(logits), y[calibrate])
+    here = np.clip(np.mean(y[calibrate]), 1e-3, 1 - 1e-3)
+    there = here if good_share is None else np.clip(good_share, 1e-3, 1 - 1e-3)
+    shift = np.log(there / (1 - there)) - np.log(here / (1 - here))
+    for k in ("text_scale", "meta_scale", "both"):
+        model[k][-1] += shift
+    model["text"][:-1] *= ratio  # so that scoring needs no scaling
     return model
 
 
@@ -188,11 +211,12 @@ def score(model: dict[str, np.ndarray], text: Sparse, meta: Sparse) -> tuple[np.
     return logistic(z[0]), logistic(z[1]), logistic(np.column_stack(z) @ model["both"][:-1] + model["both"][-1])
 
 
-def _views(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, int, Sparse, Sparse]]:
-    data, offsets = text_arrays(batch.column("text"))
-    source, lang = batch.column("source").to_pylist(), batch.column("lang").to_pylist()
-    n_chars = batch.column("n_chars").fill_null(0).to_numpy(zero_copy_only=False)
-    for i, j in slices(offsets):
+def _views(text: pa.Array, source: pa.Array, lang: pa.Array) -> Iterator[tuple[int, int, Sparse, Sparse]]:
+    """Both views of rows i to j of a batch, a bounded slice of text at a time."""
+    data, offsets = text_arrays(text)
+    n_chars = pc.utf8_length(text).fill_null(0).to_numpy(zero_copy_only=False)
+    source, lang = source.to_pylist(), lang.to_pylist()
+    for i, j in slices(offsets, 1 << 20):
         yield i, j, text_view(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), meta_view(source[i:j], lang[i:j], n_chars[i:j])
 
 
@@ -217,7 +241,7 @@ def _with_metadata(docs: DataFrame) -> DataFrame:
     for k, v in have.items():
         if k not in docs.columns:
             d = d.withColumn(k, F.lit(None).cast(v))
-    return d.withColumn("n_chars", F.char_length("text").cast("long"))
+    return d
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> bytes | None:
@@ -227,6 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     d = _with_metadata(docs)
     known = columns(labels, doc_id="long", quality="int", toxic="int").dropna()
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    n_good, n_known = known.agg(F.count_if(good), F.count("*")).first()
     share, picked = settings.max_labelled // 4, None
     for quality in (0, 1):
         for toxic in (0, 1):
@@ -242,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, y = b.column("doc_id").to_pylist(), b.column("y").to_pylist()
-            for i, j, text, meta in _views(b):
+            for i, j, text, meta in _views(b.column("text"), b.column("source"), b.column("lang")):
                 rows = [(text.col[p:q].tobytes(), text.val[p:q].tobytes()) for p, q in zip(text.at[:-1], text.at[1:], strict=True)]
                 m = meta.col.reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays(
@@ -254,13 +280,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         t = t.sort_by("doc_id")
         y = t.column("y").to_numpy()
         cols, vals = t.column("col").to_pylist(), t.column("val").to_pylist()
-        text = Sparse(np.concatenate([[0], np.cumsum([len(c) // 4 for c in cols])]), np.frombuffer(b"".join(cols), np.int32), np.frombuffer(b"".join(vals), np.float32))
         meta = np.frombuffer(b"".join(t.column("meta").to_pylist()), np.int32)
+        text = Sparse(np.concatenate([[0], np.cumsum([len(c) // 4 for c in cols])]), np.frombuffer(b"".join(cols), np.int32), np.frombuffer(b"".join(vals), np.float32))
+        del cols, vals, t
         meta = Sparse(np.arange(len(y) + 1) * 5, meta, np.ones(len(meta), np.float32))
         known, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
         if not len(known):
             return pa.table([pa.array([], pa.binary())], names=["model"])
-        model = co_train(text.take(known), meta.take(known), y[known], text.take(pool), meta.take(pool), settings)
+        model = co_train(text.take(known), meta.take(known), y[known], text.take(pool), meta.take(pool), settings, n_good / n_known)
         return pa.table([pa.array([_dump(model)], pa.binary())], names=["model"])
 
     features = sample.mapInArrow(featurize, "doc_id long, y double, col binary, val binary, meta binary")
@@ -282,7 +309,7 @@ def classify(docs: DataFrame, model: bytes | None, settings: Settings = Settings
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _load(sent.value)
         for b in batches:
-            for i, j, text, meta in _views(b):
+            for i, j, text, meta in _views(b.column("text"), b.column("source"), b.column("lang")):
                 p, q, both = score(own, text, meta)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(p), pa.array(q), pa.array(both), pa.array(both >= settings.threshold)], names=["doc_id", "p_text", "p_meta", "score", "keep"])
 
@@ -296,18 +323,17 @@ def reject(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         return docs
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    used = {k: (F.col(f"c{names.index(k)}") if k in names else F.lit(None)).cast("string").alias(k) for k in ("text", "source", "lang")}
-    wide = safe.select("*", *used.values(), F.char_length(used["text"]).cast("long").alias("n_chars"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    width = len(names)
+    at = [names.index(k) if k in names else None for k in ("text", "source", "lang")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _load(sent.value)
         for b in batches:
-            keep = np.concatenate([score(own, text, meta)[2] >= settings.threshold for _, _, text, meta in _views(b)] or [np.zeros(0, bool)])
-            yield b.select(range(width)).filter(pa.array(keep))
+            cols = [pa.nulls(len(b), pa.string()) if i is None else b.column(i).cast(pa.string()) for i in at]
+            keep = np.concatenate([score(own, text, meta)[2] >= settings.threshold for _, _, text, meta in _views(*cols)] or [np.zeros(0, bool)])
+            yield b.filter(pa.array(keep))
 
-    return wide.mapInArrow(run, safe.schema).toDF(*names)
+    return safe.mapInArrow(run, safe.schema).toDF(*names)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
