@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, delete_dir, list_dirs, table, total_bytes, work_path
-from .npwords import U, covered, gram_hash, inside, sliding_min, slices, span_hash, text_arrays, words
+from .npwords import U, covered, gram_hash, inside, mix, sliding_min, slices, span_hash, text_arrays, words
 
 WINDOW, SHINGLE = 20, 8
 CHUNK_BYTES = 8 << 20
@@ -55,7 +55,8 @@ class Windows:
         h = span_hash(data, self.starts, self.ends)
         n = len(h) - window + 1
         self.ok = inside(self.at, window, len(h))
-        self.key = sliding_min(gram_hash(h, shingle), window - shingle + 1) if n > 0 else np.zeros(0, U)
+        # a minimum of hashes is small; mixed again it spreads over all buckets
+        self.key = mix(sliding_min(gram_hash(h, shingle), window - shingle + 1)) if n > 0 else np.zeros(0, U)
         if full:
             self.h = gram_hash(h, window)
             self.g = (gram_hash(h ^ U(0xA5A5A5A55A5A5A5A), window) >> U(32)).astype(np.uint32)
