@@ -357,7 +357,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
     if size <= broadcast_bytes:
         joined = p.join(F.broadcast(regions.select("host", "region")), "host", "left")
     else:
-        salts = regions.select("host", "region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pages") / 10_000)).alias("salt"))
+        salts = regions.select("host", "region", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_pages") / 10_000))).alias("salt"))
         counted = p.join(regions.select("host", (F.floor(F.col("n_pages") / 10_000) + 1).alias("salts")).hint("shuffle_hash"), "host", "left")
         joined = counted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("salts"))).join(salts, ["host", "salt"], "left")
 
