@@ -1,6 +1,12 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+# workers import the package too
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent.parent), os.environ.get("PYTHONPATH", "")])
+
 
 @pytest.fixture(scope="session")
 def spark():
