@@ -16,6 +16,7 @@ from ..functions.accumulators import Order
 from .stages import Frame
 
 METRICS = ("cosine", "euclidean", "dot")
+LARGE_K = 100_000
 
 
 def _sum(a: Column) -> Column:
@@ -70,6 +71,9 @@ def knn(df: DataFrame, vector: str, query: list[float], k: int = 10, metric: str
     check_dimensions(query, dimensions)
     if condition is not None:
         df = df.filter(condition)
+    if k > LARGE_K:
+        # a heap of k rows is set aside by each task at once; so many are sorted instead
+        df.sparkSession.conf.set("spark.sql.execution.topKSortFallbackThreshold", str(LARGE_K))
     scored = df.withColumn(as_name, score(F.col(vector), literal_vector(query), metric)).filter(F.col(as_name).isNotNull())
     top = scored.orderBy(F.desc(as_name), F.asc(key)).limit(k)
     if min_score is not None:
