@@ -40,7 +40,7 @@ class Settings:
     per_round: int = 500
     held_out: float = 0.25
     steps: int = 80
-    threshold: float = 0.1
+    threshold: float = 0.5
 
 
 @dataclass
@@ -198,9 +198,7 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool_text: Sparse, pool_
     model["both"] = platt(np.column_stack(logits), y[calibrate])
     here = np.clip(np.mean(y[calibrate]), 1e-3, 1 - 1e-3)
     there = here if good_share is None else np.clip(good_share, 1e-3, 1 - 1e-3)
-    shift = np.log(there / (1 - there)) - np.log(here / (1 - here))
-    for k in ("text_scale", "meta_scale", "both"):
-        model[k][-1] += shift
+    model["shift"] = np.array([np.log(there / (1 - there)) - np.log(here / (1 - here))])
     model["text"][:-1] *= ratio  # so that scoring needs no scaling
     return model
 
@@ -208,7 +206,8 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool_text: Sparse, pool_
 def score(model: dict[str, np.ndarray], text: Sparse, meta: Sparse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Calibrated probabilities of a good document by the text, the metadata, and both."""
     z = [(x.dot(model[k][:-1]) + model[k][-1]) * model[f"{k}_scale"][0] + model[f"{k}_scale"][1] for k, x in (("text", text), ("meta", meta))]
-    return logistic(z[0]), logistic(z[1]), logistic(np.column_stack(z) @ model["both"][:-1] + model["both"][-1])
+    both = np.column_stack(z) @ model["both"][:-1] + model["both"][-1]
+    return tuple(logistic(x + model["shift"][0]) for x in (z[0], z[1], both))
 
 
 def _views(text: pa.Array, source: pa.Array, lang: pa.Array) -> Iterator[tuple[int, int, Sparse, Sparse]]:
