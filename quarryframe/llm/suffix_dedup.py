@@ -75,7 +75,50 @@ def _chunk_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Ta
     return doc[order], data, offsets, t
 
 
-def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndarray, length: int, shards: int = 2, merge_bytes: int = MERGE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def may_share(key: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, length: int, piece: int) -> np.ndarray:
+    """Of different stretches, in order of their piece: those that may share a string with another.
+
+    A string over the piece has at least half of its other bytes on one side of it, so two stretches that share one agree
+    on that many bytes left of the piece or right of it. Where a piece isn't found just once in each of its stretches,
+    all of them are let through."""
+    more = -(-(length - piece) // 2)
+    keep = np.zeros(len(key), bool)
+    sides, alone = [], np.ones(len(key), bool)
+    bounds = np.append(0, np.cumsum(size))
+    for i, j in slices(bounds, 1 << 20):
+        n = size[i:j]
+        ends = np.cumsum(n)
+        part = data[np.repeat(start[i:j] - (ends - n), n) + np.arange(ends[-1])]
+        at = ends - n
+        h = byte_gram_hash(part, piece)
+        h = np.append(h, np.full(len(part) - len(h), ~U(0)))
+        inner = np.ones(len(part), bool)  # no piece across stretches
+        for k in range(1, piece):
+            inner[ends - k] = False
+        h[~inner] = ~U(0)
+        owner = np.repeat(np.arange(j - i), n)
+        # the piece is the least one of the last string and of the first, so in what they have in common
+        first, last = n - length, np.minimum(length - piece, n - piece)
+        common = (np.arange(len(part)) - at[owner] >= first[owner]) & (np.arange(len(part)) - at[owner] <= last[owner])
+        least = np.minimum.reduceat(np.where(common, h, ~U(0)), at)
+        found = np.flatnonzero(h == least[owner])
+        once = np.bincount(owner[found], minlength=j - i) == 1
+        place = np.zeros(j - i, np.int64)
+        place[owner[found]] = found
+        alone[i:j] = once & (n < 2 * length - piece + 1)
+        left, right = once & (place - more >= at), once & (place + piece + more <= ends)
+        for side, ok, lo, hi in ((0, left, place - more, place + piece), (1, right, place, place + piece + more)):
+            who = np.flatnonzero(ok)
+            sides.append((i + who, np.full(len(who), side), span_hash(part, lo[who], hi[who])))
+    who, side, h = (np.concatenate([x[k] for x in sides]) for k in range(3))
+    order = np.lexsort((h, side, key[who]))
+    g = groups(key[who][order], side[order], h[order])
+    keep[who[order][np.repeat(np.diff(g, append=len(order)) > 1, np.diff(g, append=len(order)))]] = True
+    at = groups(key)
+    return keep | np.repeat(~np.logical_and.reduceat(alone, at), np.diff(at, append=len(key)))
+
+
+def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndarray, length: int, piece: int, shards: int = 2, merge_bytes: int = MERGE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of stretches (their piece, document, number of bytes; data holds them one after the other): runs of strings that are in
     a smaller document too, as (stretch, first string, number of strings)."""
     none = np.zeros(0, np.int64)
@@ -96,6 +139,8 @@ def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
     at = groups(g_key)
     many = np.diff(at, append=len(g_key))
     busy = np.flatnonzero(np.repeat(many > 1, many))
+    if len(busy):
+        busy = busy[may_share(g_key[busy], start[head[busy]], size[head[busy]], data, length, piece)]
     out = [(np.flatnonzero(later), np.zeros(int(later.sum()), np.int64), size[later] - length + 1)]
     if len(busy):
         bytes_to = np.cumsum(size[head[busy]])
@@ -254,7 +299,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
         part["data"] = [unpacked(x.as_buffer(), int(n.sum())) for x, n in zip(t.column("data"), part["size"], strict=True)]
         key, doc, ordinal, place, size, data = (np.concatenate(part[k]) for k in ("key", "doc", "ordinal", "place", "size", "data"))
         chunk = np.repeat(t.column("chunk").to_numpy(), [len(x) for x in part["key"]])
-        who, first, n = lost_strings(key, doc, size.astype(np.int64), data, length)
+        who, first, n = lost_strings(key, doc, size.astype(np.int64), data, length, piece)
         ordinal = np.concatenate([ordinal[who], *part["l_ordinal"]])
         place = np.concatenate([(place[who] + first).astype(np.int32), *part["l_place"]])
         n = np.concatenate([n.astype(np.int32), *part["l_n"]])
