@@ -282,6 +282,23 @@ def test_dense_groups_are_checked_whole(spark):
     assert got == classes_by_hand(rows, minhash.Settings()) and got[0][2] == 59
 
 
+def test_containment_across_sizes(spark):
+    rng = random.Random(3)
+    long, other = [f"a{i}" for i in range(2000)], [f"b{i}" for i in range(1500)]
+    part = long[100:140]
+    bent = [w if i % 9 else f"z{rng.random()}" for i, w in enumerate(part)]  # contained to 75 % or more, or not
+    rows = [(1, part), (2, long), (3, long[300:700]), (4, other + part), (5, bent), (6, ["a7", "a8"]), (7, long[300:340]), (8, ["c1", "c2"]), (9, [*long[:-1], "end"])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in minhash.near_duplicates(df).collect()}
+    s = minhash.Settings()
+    by_hand = classes_by_hand(rows, s)
+    assert {i: v[1] for i, v in got.items()} == {i: v[2] for i, v in by_hand.items()} and got[1][1] >= 3
+    # passages go into the class of the largest text that holds them, and don't join texts that share one
+    assert {i: v[0] for i, v in got.items()} == {**dict.fromkeys((1, 2, 3, 6, 7, 9), 2), 4: 4, 8: 8, 5: 2 if by_hand[5][2] else 5}
+    assert {r.doc_id for r in minhash.keep_one(df).collect()} == {v[0] for v in got.values()}
+
+
 @pytest.mark.parametrize("one_task", [0, 10_000])
 def test_components(spark, one_task):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 6), (6, 3), (20, 21), (22, 20), (23, 22), (24, 23)]
