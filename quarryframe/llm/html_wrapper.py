@@ -12,8 +12,9 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,6 @@ COMMENTS = re.compile(r"comment|disqus|repl(?:y|ies)|respond", re.I)
 MAIN_WORD = re.compile(r"(?:^|[\s_-])(?:article(?:body)?|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 #: a start of the first closes the second, up to the third
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
-DEPTH = 40
 #: A text that every one of at least so many pages has in the same place is the host's, not the article's.
 CONSTANT_PAGES = 8
 
@@ -141,11 +141,21 @@ class Node:
     aside: bool = False
 
     def dump(self) -> list:
-        return [self.label, self.often, [c.dump() for c in self.children], self.value, self.chars, self.pages, int(self.aside)]
+        """The nodes in document order, each with the number of its children; flat, as pages may be nested to any depth."""
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            out.append([x.label, x.often, len(x.children), x.value, x.chars, x.pages, int(x.aside)])
+            todo += reversed(x.children)
+        return out
 
     @classmethod
-    def load(cls, x: list) -> Node:
-        return cls(x[0], x[1], [cls.load(c) for c in x[2]], x[3], x[4], x[5], bool(x[6]))
+    def load(cls, rows: list) -> Node:
+        done: list[Node] = []
+        for label, often, n, value, chars, pages, aside in reversed(rows):
+            children = [done.pop() for _ in range(n)]
+            done.append(cls(label, often, children, value, chars, pages, bool(aside)))
+        return done[0]
 
 
 def often(a: str, b: str) -> str:
@@ -153,26 +163,49 @@ def often(a: str, b: str) -> str:
     return ("*" if none else "+") if many else ("?" if none else "1")
 
 
+def _whole(step: Generator) -> Any:
+    """The result of a step that yields the steps it needs: recursion to any depth on a stack of its own."""
+    stack, value = [step], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
 def merge(a: Node, b: Node, same_page: bool = False) -> Node:
     """The wrapper of both, which have one label."""
+    return _whole(_merge(a, b, same_page))
+
+
+def _merge(a: Node, b: Node, same_page: bool) -> Generator:
     value = a.value if a.value == b.value else None
     pages = a.pages if same_page else a.pages + b.pages
-    return Node(a.label, often(a.often, b.often), align(a.children, b.children, same_page), value, a.chars + b.chars, pages, a.aside and b.aside)
+    children = (yield _align(a.children, b.children, same_page)) if a.children or b.children else []
+    return Node(a.label, often(a.often, b.often), children, value, a.chars + b.chars, pages, a.aside and b.aside)
 
 
-def align(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
+def _align(a: list[Node], b: list[Node], same_page: bool) -> Generator:
     """Aligns two sequences by their longest common subsequence of labels; what only one has becomes optional."""
+    out: list[Node] = []
     if [x.label for x in a] == [x.label for x in b]:
-        return [merge(x, y, same_page) for x, y in zip(a, b, strict=True)]
+        for x, y in zip(a, b, strict=True):
+            out.append((yield _merge(x, y, same_page)))
+        return out
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i].label == b[j].label else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i, j = 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i].label == b[j].label:
-            out.append(merge(a[i], b[j], same_page))
+            out.append((yield _merge(a[i], b[j], same_page)))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             a[i].often = often(a[i].often, "?")
@@ -182,18 +215,22 @@ def align(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
             b[j].often = often(b[j].often, "?")
             out.append(b[j])
             j += 1
-    return fold(out, same_page=True)
+    return (yield _fold(out, True))
 
 
 def fold(items: list[Node], same_page: bool = True) -> list[Node]:
     """Neighbours of one label, or of two or three labels in turn, become one repeated group."""
+    return _whole(_fold(items, same_page))
+
+
+def _fold(items: list[Node], same_page: bool) -> Generator:
     for period in (1, 2, 3):
         i = 0
         while i + 2 * period <= len(items):
             if all(items[i + k].label == items[i + period + k].label for k in range(period)):
                 for k in range(period):
                     one, two = items[i + k], items[i + period + k]
-                    joined = merge(one, two, same_page)
+                    joined = yield _merge(one, two, same_page)
                     joined.often = "*" if one.often in "?*" and two.often in "?*" else "+"
                     items[i + k] = joined
                 del items[i + period : i + 2 * period]
@@ -209,8 +246,7 @@ def page_tree(page: str) -> Node:
     for kind, what, aside in events(page):
         if kind == "open":
             child = Node(what, aside=aside)
-            if len(stack) < DEPTH:
-                stack[-1].children.append(child)
+            stack[-1].children.append(child)
             stack.append(child)
         elif kind == "close":
             done = stack.pop()
@@ -224,8 +260,8 @@ def page_tree(page: str) -> Node:
 
 def region(wrapper: Node) -> tuple[list[str], list[str]]:
     """Labels of the path to the article's region in a wrapper, and the texts in it that are the host's."""
-    best: tuple[int, int, list[str], Node] | None = None
-    todo: list[tuple[Node, list[str]]] = [(wrapper, [])]
+    best: tuple[int, int, tuple, Node] | None = None
+    todo: list[tuple[Node, tuple]] = [(wrapper, ())]  # a path is (path above, label)
     while todo:
         node, path = todo.pop()
         for c in node.children:
@@ -234,10 +270,10 @@ def region(wrapper: Node) -> tuple[list[str], list[str]]:
             name, _, marks = c.label.partition(".")
             rank = 3 if name == "article" else 2 if name == "main" else 1 if marks and MAIN_WORD.search(marks.replace(".", " ")) else 0
             if rank and c.chars and (best is None or (rank > 1, c.chars if rank < 2 else 0, rank, c.chars) > (best[0] > 1, best[1] if best[0] < 2 else 0, best[0], best[1])):
-                best = (rank, c.chars, [*path, c.label], c)
-            todo.append((c, [*path, c.label]))
+                best = (rank, c.chars, (path, c.label), c)
+            todo.append((c, (path, c.label)))
     if best is None:
-        node, path = wrapper, []
+        node, path = wrapper, ()
         while True:
             # where one block has most of the slots' text, the article is in it
             inner = [c for c in node.children if c.label != "#" and not c.aside]
@@ -245,7 +281,7 @@ def region(wrapper: Node) -> tuple[list[str], list[str]]:
             chosen = max(inner, key=lambda c: c.chars, default=None)
             if chosen is None or chosen.chars < 0.7 * total or chosen.often in "+*" or all(c.label == "#" for c in chosen.children):
                 break
-            node, path = chosen, [*path, chosen.label]
+            node, path = chosen, (path, chosen.label)
         best = (0, node.chars, path, node)
     constant, slots, todo2 = [], 0, [best[3]]
     while todo2:
@@ -257,7 +293,11 @@ def region(wrapper: Node) -> tuple[list[str], list[str]]:
                 constant.append(c.value)
             else:
                 slots += c.chars
-    return best[2], constant if slots else []
+    labels, up = [], best[2]
+    while up:
+        up, label = up
+        labels.append(label)
+    return labels[::-1], constant if slots else []
 
 
 def extract(page: str, path: list[str] | None, constant: set[str] | frozenset = frozenset()) -> str:

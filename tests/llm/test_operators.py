@@ -491,6 +491,14 @@ def test_wrapper_alignment():
     assert html_wrapper.Node.load(w.dump()) == w
 
 
+@pytest.mark.parametrize("depth", [60, 3000])
+def test_articles_under_many_blocks(spark, depth):
+    html = lambda i: "<div class=title><h1>Heading</h1></div>" + "<div>" * depth + f"<p>The whole article {i}</p><p>and its end</p>" + "</div>" * depth
+    rows = [(i, "http://deep.example/", html(i)) for i in range(10)]
+    got = {r.page_id: r.text for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(f"The whole article {i} and its end" in got[i] for i in range(10))
+
+
 # quality
 
 
