@@ -103,6 +103,8 @@ pipeline("group_first_last", "orders", [{"$group": {"_id": "$o_custkey", "first_
          "SELECT o_custkey AS _id, arg_min(o_orderstatus, o_orderkey) AS first_status, round(arg_max(o_totalprice, o_orderkey), 4) AS last_price FROM orders GROUP BY 1", "last_price")
 pipeline("group_push", "orders", [{"$match": {"o_custkey": {"$lt": 500}}}, {"$group": {"_id": "$o_custkey", "statuses": {"$push": "$o_orderstatus"}}}],
          "SELECT o_custkey AS _id, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS statuses FROM orders WHERE o_custkey < 500 GROUP BY 1", select=["_id", "array_join(statuses, ',') AS statuses"])
+pipeline("group_push_all", "orders", [{"$group": {"_id": "$o_custkey", "statuses": {"$push": "$o_orderstatus"}}}],
+         "SELECT o_custkey AS _id, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS statuses FROM orders GROUP BY 1", select=["_id", "array_join(statuses, ',') AS statuses"])
 pipeline("group_addtoset", "orders", [{"$group": {"_id": "$o_custkey", "priorities": {"$addToSet": "$o_orderpriority"}}}],
          "SELECT o_custkey AS _id, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS priorities FROM orders GROUP BY 1", select=["_id", "array_join(priorities, ',') AS priorities"])
 pipeline("group_stddev", "lineitem", [{"$group": {"_id": "$l_returnflag", "pop": {"$stdDevPop": "$l_quantity"}, "samp": {"$stdDevSamp": "$l_quantity"}}}],
