@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from .functions.predicates import find_filter
 from .operators import writes
 from .operators.search import SearchRequest, TextIndex, build_index, search
 from .operators.stages import Context, Frame, distinct_values
-from .operators.vector import knn, unified_query
+from .operators.vector import knn, unified_query, vector_stats
 from .plans.pipeline import apply
 from .schema import Schema
 
@@ -65,6 +66,10 @@ class Collection:
         """Rows whose top-level fields equal all entries."""
         return self.df.filter(find_filter(Resolver(self.df.schema), query))
 
+    def find_prefix(self, name: str, prefix: str) -> DataFrame:
+        """Rows whose text in a field starts with a prefix; a scan takes it as a filter."""
+        return self.df.filter(F.col(name).startswith(prefix))
+
     def count(self) -> int:
         return self.df.count()
 
@@ -107,7 +112,9 @@ class Collection:
         return unified_query(self.df, key=self.key, **more)
 
     def stats(self) -> dict:
-        return {"name": self.name, "count": self.count(), "hasSchema": self.schema is not None, "indexes": dict(self.indexes), "hasTextIndex": self.text_index is not None}
+        vectors = [n for n, f in (self.schema.fields.items() if self.schema else ()) if f.dimensions]
+        more = {n: vector_stats(self.df, n).first().asDict() for n in vectors if n in self.df.columns}
+        return {"vectors": more, "name": self.name, "count": self.count(), "hasSchema": self.schema is not None, "indexes": dict(self.indexes), "hasTextIndex": self.text_index is not None}
 
     def explain(self, query: dict) -> dict:
         """Which access path a find would take, with the plan that Spark makes of it."""
@@ -134,6 +141,31 @@ class CollectionCatalog:
             raise NoCollection(name)
         return self.collections[name]
 
+    def import_rows(self, name: str, df: DataFrame, schema: Schema | dict | None = None, key: str = "_id", overwrite: bool = False) -> Collection:
+        """A collection from rows; one of that name is only replaced where told so."""
+        if overwrite:
+            self.collections.pop(name, None)
+        return self.create(name, df, schema, key)
+
+    def save(self, path: str) -> None:
+        """All collections below path: rows as Parquet, and key, schema and indexes beside them."""
+        for name, c in self.collections.items():
+            c.df.write.mode("overwrite").parquet(f"{path}/{name}/rows")
+            about = json.dumps({"key": c.key, "schema": asdict(c.schema) if c.schema else None, "indexes": c.indexes})
+            self.spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}/about")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> CollectionCatalog:
+        """The collections that save() wrote below path."""
+        out = cls(spark)
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root):
+            at = s.getPath().toString()
+            about = json.loads("".join(r[0] for r in spark.read.text(f"{at}/about").collect()))
+            c = out.create(s.getPath().getName(), spark.read.parquet(f"{at}/rows"), Schema.restore(about["schema"]) if about["schema"] else None, about["key"])
+            c.indexes = about["indexes"]
+        return out
+
     def list(self) -> list[str]:
         return sorted(self.collections)
 

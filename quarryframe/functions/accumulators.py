@@ -30,9 +30,34 @@ class Order:
         directions = {up for _, up in self.keys}
         if len(directions) == 1:
             return F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, (k, _) in enumerate(self.keys)]), directions == {True}
-        if all(up or isinstance(kinds.get(k), T.NumericType) for k, up in self.keys):
-            return F.struct(*[(F.col(f"`{k}`") if up else -F.col(f"`{k}`")).alias(f"k{i}") for i, (k, up) in enumerate(self.keys)]), True
-        return None
+        parts: list[Column] = []
+        for k, up in self.keys:
+            if up:
+                parts.append(F.col(f"`{k}`"))
+                continue
+            falling = descending(F.col(f"`{k}`"), kinds.get(k))
+            if falling is None:
+                return None
+            parts += [F.col(f"`{k}`").isNull(), falling]  # nulls last
+        return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]), True
+
+
+def descending(c: Column, kind: T.DataType | None) -> Column | None:
+    """A value that ascends as c descends; None for kinds that have none."""
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(c)
+    if isinstance(kind, T.NumericType):
+        return -c
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, T.TimestampType):
+        return -F.unix_micros(c)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        # complemented bytes, and an end that is larger than all of them, as the longer of two texts comes first
+        return F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    return None
 
 
 def numeric(v: Typed) -> Column:
@@ -58,8 +83,7 @@ def accumulate(r: Resolver, op: str, operand: Any, order: Order | None) -> Colum
     if op == "$push":
         if order is None:
             return F.transform(F.array_sort(F.collect_list(F.struct(v.col.alias("v")))), lambda x: x["v"])
-        ranked = order.rank(r.schema)
-        rank, up = ranked if ranked else (F.struct(F.lit(0).alias("k0")), True)
+        rank, up = _ranked(order, r)
         items = F.array_sort(F.collect_list(F.struct(rank.alias("o"), v.col.alias("v"))))
         return F.transform(items if up else F.reverse(items), lambda x: x["v"])
     if op == "$addToSet":
@@ -78,13 +102,17 @@ def accumulate(r: Resolver, op: str, operand: Any, order: Order | None) -> Colum
 def _first_or_last(r: Resolver, v: Typed, first: bool, order: Order | None) -> Column:
     if order is None:
         return (F.first if first else F.last)(v.col)
-    ranked = order.rank(r.schema)
-    if ranked is None:
-        raise ValueError("$first and $last need an order whose descending keys are numbers, or one direction")
-    rank, up = ranked
+    rank, up = _ranked(order, r)
     # a struct, so that a null value is kept
     return (F.min_by if first == up else F.max_by)(F.struct(v.col.alias("v")), rank)["v"]
 
 
+def _ranked(order: Order, r: Resolver) -> tuple[Column, bool]:
+    ranked = order.rank(r.schema)
+    if ranked is None:
+        raise ValueError("$first, $last and $push need an order of one direction, or whose descending keys are numbers, texts, times or booleans")
+    return ranked
+
+
 def is_accumulator(x: Any) -> bool:
     return isinstance(x, dict) and len(x) == 1 and next(iter(x)) in NAMES

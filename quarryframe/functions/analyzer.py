@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,9 +37,25 @@ class Analyzer:
     case_sensitive: bool = False
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: None if ts is None else [unicodedata.normalize("NFKC", t) for t in ts])
+
+
+@lru_cache(maxsize=1)
+def _unstable() -> str:
+    """A class of few ranges that holds the letters and digits that NFKC may change: those with another form, and jamo, which
+    join. It may hold others; each range costs time on each character."""
+    ranges: list[list[int]] = []
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        category = unicodedata.category(c)
+        if (category[0] == "L" or category == "Nd") and (not unicodedata.is_normalized("NFKC", c) or 0x1161 <= code <= 0x1175 or 0x11A8 <= code <= 0x11C2):
+            if ranges and ranges[-1][1] >= code - (1 if code < 0x250 else 96):
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{z:X}}}" if z > a else "") for a, z in ranges) + "]"
 
 
 @F.pandas_udf(T.StringType())
@@ -45,27 +63,29 @@ def stem_udf(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: None if t is None else stem(t))
 
 
-def nfkc(text: Column) -> Column:
-    """Compatibility forms joined. ASCII texts, which it leaves as they are, still pass the batch function: Python functions
-    aren't skipped by a condition. Use only where other text is expected."""
-    return _nfkc(text)
+def nfkc(text: Column, found: Column) -> Column:
+    """The tokens found in a text with compatibility forms joined, each by itself; null for a text without a character that may
+    have such a form. Of these only a null goes to Python."""
+    return _nfkc(F.when(text.rlike(_unstable()), found))
 
 
 def tokens(text: Column, a: Analyzer = Analyzer(), normalise: bool = False) -> Column:
-    """The token array of a text before stemming, JVM-side but for NFKC."""
+    """The token array of a text before stemming, JVM-side but for NFKC. Tokens are cut first and normalised then, as query_terms()
+    does it."""
     if a.kind == "english":
-        text = nfkc(text) if normalise else text
-        raw = F.regexp_extract_all(text if a.case_sensitive else F.lower(text), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
-        stop = F.array(*[F.lit(s) for s in STOPWORDS])
-        return F.filter(raw, lambda x: ~F.array_contains(stop, F.lower(x)) & (F.octet_length(x) >= 2))
+        fold = (lambda x: x) if a.case_sensitive else F.lower
+        word = F.lit(r"([\p{L}\p{Nd}]+)")
+        raw = F.regexp_extract_all(fold(text), word, F.lit(1))
+        if normalise:
+            raw = F.coalesce(F.transform(nfkc(text, F.regexp_extract_all(text, word, F.lit(1))), fold), raw)
+        return F.filter(raw, lambda x: ~(F.lower(x) if a.case_sensitive else x).isin(STOPWORDS) & (F.octet_length(x) >= 2))
     if a.kind == "whitespace":
         return F.filter(F.split(text, "[ \t\n\r]+"), lambda x: x != "")
     if a.kind in ("standard", "simple"):
         raw = F.regexp_extract_all(F.translate(text, UPPER, LETTERS), F.lit("([a-z0-9]+)"), F.lit(1))
         if a.kind == "simple":
             return raw
-        stop = F.array(*[F.lit(s) for s in PLAIN_STOPWORDS])
-        return F.filter(raw, lambda x: ~F.array_contains(stop, x))
+        return F.filter(raw, lambda x: ~x.isin(PLAIN_STOPWORDS))
     raise ValueError(f"unknown analyzer {a.kind}")
 
 
@@ -85,7 +105,8 @@ def query_terms(text: str, a: Analyzer = Analyzer()) -> list[str]:
     import re
 
     if a.kind == "english":
-        found = re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text))
+        known = [c if (k := unicodedata.category(c))[0] == "L" or k == "Nd" else " " for c in text]
+        found = [unicodedata.normalize("NFKC", t) for t in "".join(known).split()]
         found = [t if a.case_sensitive else t.lower() for t in found]
         found = [t for t in found if t.lower() not in STOPWORDS and len(t.encode()) >= 2]
         return [stem(t) for t in found] if a.stemming else found

@@ -61,6 +61,14 @@ class Resolver:
         if path in fields:
             return Typed(F.col(quoted(path)), fields[path].dataType)
         head, _, rest = path.partition(".")
+        if path not in fields and isinstance(unified := getattr(fields.get("fields"), "dataType", None), T.StructType):
+            # a unified document: fields.<name>.scalar, else .vector, else the field itself
+            inner = {f.name: f.dataType for f in unified.fields}
+            if path in inner:
+                at = Typed(F.col("fields").getField(path), inner[path])
+                parts = {f.name: f.dataType for f in at.type.fields} if isinstance(at.type, T.StructType) else {}
+                part = next((p for p in ("scalar", "vector") if p in parts), None)
+                return Typed(at.col.getField(part), parts[part]) if part else at
         if head not in fields or not rest:
             return missing()
         at = Typed(F.col(quoted(head)), fields[head].dataType)

@@ -32,7 +32,7 @@ def equals(v: Typed, value: Any) -> Column:
     if v.is_missing:
         return F.lit(False)
     if isinstance(value, bool):
-        return as_boolean(v) == F.lit(value)
+        return as_boolean(v) == F.lit(value) if v.is_variant or isinstance(v.type, T.BooleanType) else F.lit(False)
     if is_plain_number(value):
         return v.col == F.lit(value) if v.is_number else as_number(v) == F.lit(float(value)) if v.is_variant else F.lit(False)
     if isinstance(value, str):
@@ -71,8 +71,9 @@ def certainly(c: Column) -> Column:
 
 
 def negated(v: Typed, c: Column, nil_matches: bool) -> Column:
-    """not c, also for missing values unless c names them; as an OR that a scan can take."""
-    if v.is_missing or v.is_variant:
+    """not c, also for missing values unless c names them; as an OR that a scan can take. Where c may be null though the value
+    isn't (a text that is no time, elements that are null), null is made false first."""
+    if v.is_missing or not (v.is_number or v.is_string or isinstance(v.type, T.BooleanType)):
         return ~certainly(c)
     return v.col.isNotNull() & ~c if nil_matches else v.col.isNull() | ~c
 

@@ -269,6 +269,11 @@ def distinct_values(f: Frame, name: str) -> DataFrame:
     return f.df.select(v.col.alias("value")).filter(F.col("value").isNotNull()).distinct()
 
 
+def distinct_count(f: Frame, name: str) -> DataFrame:
+    """One row: how many distinct values exist of a top-level field."""
+    return distinct_values(f, name).agg(F.count(F.lit(1)).alias("count"))
+
+
 def _vector(name: str) -> Stage:
     def run(f: Frame, spec: Any) -> Frame:
         from . import vector

@@ -71,16 +71,25 @@ def knn(df: DataFrame, vector: str, query: list[float], k: int = 10, metric: str
     check_dimensions(query, dimensions)
     if condition is not None:
         df = df.filter(condition)
-    if k > LARGE_K:
-        # a heap of k rows is set aside by each task at once; so many are sorted instead
-        df.sparkSession.conf.set("spark.sql.execution.topKSortFallbackThreshold", str(LARGE_K))
     scored = df.withColumn(as_name, score(F.col(vector), literal_vector(query), metric)).filter(F.col(as_name).isNotNull())
-    top = scored.orderBy(F.desc(as_name), F.asc(key)).limit(k)
+    top = scored.orderBy(F.desc(as_name), F.asc(key))
+    if k <= LARGE_K:
+        top = top.limit(k)
+    elif df.count() > k:
+        # a heap of k rows would be set aside by each task at once; behind a filter that isn't known the rows are sorted instead
+        top = top.filter(F.rand() >= 0).limit(k)
     if min_score is not None:
         top = top.filter(F.col(as_name) >= min_score)
     return top if include_vector else top.drop(vector)
 
 
+def vector_stats(df: DataFrame, vector: str) -> DataFrame:
+    """One row: rows, vectors among them, least and most dimensions, mean and largest norm."""
+    v = F.col(vector)
+    there = v.isNotNull()
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(there).alias("n_vectors"), F.min(F.when(there, F.size(v))).cast("long").alias("least_dimensions"), F.max(F.when(there, F.size(v))).cast("long").alias("most_dimensions"), F.avg(norm(v)).alias("mean_norm"), F.max(norm(v)).alias("largest_norm"))
+
+
 def vector_match_stage(f: Frame, spec: dict) -> Frame:
     """The topK (10) rows nearest to a vector, with vectorScore."""
     top = knn(f.df, spec["field"], spec["vector"], int(spec.get("topK") or 10), spec.get("metric", "cosine"), min_score=spec.get("minScore"), key=f.context.key, as_name="vectorScore")
@@ -201,7 +210,19 @@ def kmeans(df: DataFrame, vector: str, k: int = 3, max_iterations: int = 100, ke
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - c[None, :, :]) ** 2).sum(2).argmin(1)
+    """The nearest row of c for each of x, by |c|^2 - 2 x.c; those that rounding can't tell apart are compared exactly."""
+    out = np.empty(len(x), np.int64)
+    square = (c * c).sum(1)
+    for lo in range(0, len(x), 4096):
+        part = x[lo : lo + 4096]
+        d = square - 2 * (part @ c.T)
+        near = d.argmin(1)
+        least = d[np.arange(len(part)), near]
+        unsure = np.flatnonzero((d <= (least + 1e-9 * (1 + square.max() + (part * part).sum(1)))[:, None]).sum(1) > 1)
+        for i in unsure.tolist():
+            near[i] = ((part[i] - c) ** 2).sum(1).argmin()
+        out[lo : lo + 4096] = near
+    return out
 
 
 def nearest_column(v: Column, centres: list[list[float]]) -> Column:

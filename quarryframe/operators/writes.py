@@ -29,15 +29,25 @@ def insert(current: DataFrame, rows: DataFrame, schema: Schema | None = None, ke
     _, bad = validate(rows, schema)
     if found := _some(bad.select(key, "errors.message") if key in rows.columns else bad.select("errors.message")):
         raise Invalid(f"invalid rows: {found}")
-    if found := _some(rows.groupBy(key).count().filter("count > 1").select(key)):
-        raise DuplicateKey(f"keys repeat in the batch: {found}")
+    _once(rows, key)
     if found := _some(rows.join(current.select(key), key, "left_semi").select(key)):
         raise DuplicateKey(f"keys exist: {found}")
     return current.unionByName(rows, allowMissingColumns=True)
 
 
-def upsert(current: DataFrame, rows: DataFrame, key: str = "_id") -> DataFrame:
-    """Rows replace those of the same key as a whole, others are added."""
+def _once(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """rows with each key once: of rows that repeat one that with the largest value of order, which is a column. Without order
+    there is no last row, and a key that repeats stops the batch."""
+    if order is not None:
+        return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("__r")).select("__r.*")
+    if found := _some(rows.groupBy(key).count().filter("count > 1").select(key)):
+        raise DuplicateKey(f"keys repeat in the batch: {found}")
+    return rows
+
+
+def upsert(current: DataFrame, rows: DataFrame, key: str = "_id", order: str | None = None) -> DataFrame:
+    """Rows replace those of the same key as a whole, others are added. A key that repeats in rows counts once, by order."""
+    rows = _once(rows, key, order)
     return current.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
@@ -49,9 +59,11 @@ def update(current: DataFrame, rows: DataFrame, schema: Schema | None = None, ke
     return upsert(current, rows, key)
 
 
-def patch(current: DataFrame, rows: DataFrame, key: str = "_id", strict: bool = True) -> DataFrame:
+def patch(current: DataFrame, rows: DataFrame, key: str = "_id", strict: bool = True, order: str | None = None) -> DataFrame:
     """Shallow merge: the columns that rows has replace those of the row with the same key where they aren't null. A struct
-    column present__<name>, boolean, decides instead where there is one, so that null can be set."""
+    column present__<name>, boolean, decides instead where there is one, so that null can be set. A key that repeats in rows
+    counts once, by order."""
+    rows = _once(rows, key, order)
     if strict:
         _check(current, rows, None, key)
     changed = [c for c in rows.columns if c != key and not c.startswith("present__")]

@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..catalog import Collection
 from ..functions.analyzer import Analyzer, tokens
 from ..functions.paths import Resolver
 from ..functions.predicates import find_filter
 from ..operators import advisor, changelog, policy, vector, writes
-from ..operators.search import SearchRequest, build_index, fuzzy_terms, idf_unified, idf_v1, phrase_candidates, regex_candidates, scored, search
-from ..operators.stages import Context, Frame, distinct_values, facet_frames
+from ..operators.search import SearchRequest, build_index, fuzzy_terms, idf_unified, idf_v1, phrase_candidates, regex_candidates, score_terms, search, term_candidates
+from ..operators.stages import Context, Frame, distinct_count, distinct_values, facet_frames
 from ..schema import Schema, with_errors
 from .pipeline import aggregate
 
@@ -268,14 +269,14 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_bm25_sql("v1", ["tion", "erat", "heon"]))
 def bm25_v1_nostem(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(load(spark, sf_dir, "documents"), ["text"], PLAIN, "doc_id")
-    out = scored(index.postings, index.stats, ["tion", "erat", "heon"], idf_v1)
+    out = score_terms(index, ["tion", "erat", "heon"], idf_v1)
     return rounded(out.orderBy(F.desc("score"), "doc").limit(20).select(F.col("doc").alias("doc_id"), "score"), "score")
 
 
 @query(_bm25_sql("v2", ["tion", "erat", "heon"], None))
 def bm25_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(load(spark, sf_dir, "documents"), ["text"], Analyzer("standard"), "doc_id")
-    return rounded(scored(index.postings, index.stats, ["tion", "erat", "heon"], idf_unified).select(F.col("doc").alias("doc_id"), "score"), "score")
+    return rounded(score_terms(index, ["tion", "erat", "heon"], idf_unified).select(F.col("doc").alias("doc_id"), "score"), "score")
 
 
 @query()
@@ -305,7 +306,7 @@ def regex_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # fusion: documents and embeddings by id, text and vector candidates
 def _hybrid(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     index = build_index(load(spark, sf_dir, "documents"), ["text"], Analyzer("standard"), "doc_id")
-    text = scored(index.postings, index.stats, ["tion", "erat", "heon"], idf_unified).orderBy(F.desc("score"), "doc").limit(100)
+    text = score_terms(index, ["tion", "erat", "heon"], idf_unified).orderBy(F.desc("score"), "doc").limit(100)
     near = vector.knn(load(spark, sf_dir, "embeddings"), "embedding", PROBE, 100, key="vec_id")
     return {"text": text.select(F.col("doc").alias("_id"), "score"), "vector": near.select(F.col("vec_id").alias("_id"), "score")}
 
@@ -402,3 +403,94 @@ def top_lines_per_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top rows per group, the form that $topN lowers to."""
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
     return load(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).filter("r <= 3").select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+# requests of the collections' interfaces
+@query("SELECT p_partkey, p_brand FROM part WHERE starts_with(p_brand, 'Brand#1')")
+def find_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Collection("part", load(spark, sf_dir, "part"), key="p_partkey").find_prefix("p_brand", "Brand#1").select("p_partkey", "p_brand")
+
+
+@query('SELECT count(DISTINCT c_mktsegment) AS "count" FROM customer')
+def distinct_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_count(Frame(load(spark, sf_dir, "customer"), Context(key="c_custkey")), "c_mktsegment")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer UNION ALL SELECT c_custkey + 10000000, c_nationkey FROM customer WHERE c_acctbal < 0")
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return writes.insert(base, base.filter("c_acctbal < 0").withColumn("c_custkey", F.col("c_custkey") + 10000000), key="c_custkey").select("c_custkey", "c_nationkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'MOVED' ELSE c_name END AS c_name FROM customer")
+def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return writes.update(base, base.filter("c_nationkey = 7").withColumn("c_name", F.lit("MOVED")), key="c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Collection("customer", load(spark, sf_dir, "customer"), key="c_custkey").get(42).select("c_custkey", "c_name")
+
+
+@query(f"WITH {LOG_SQL} SELECT tx AS tx_id FROM log GROUP BY 1 HAVING count(*) FILTER (WHERE type IN ('COMMIT', 'ABORT')) = 0")
+def in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changelog.in_flight(_log(spark, sf_dir))
+
+
+@query("""SELECT event_type AS field, count(*) FILTER (WHERE user_id % 5 <> 0) AS queries, count(*) FILTER (WHERE user_id % 5 <> 0 AND event_id % 4 <> 0) AS full_scans, count(*) FILTER (WHERE user_id % 5 = 0) AS writes,
+round(avg(value) FILTER (WHERE user_id % 5 <> 0), 4) AS avg_ms FROM events GROUP BY 1""")
+def query_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = load(spark, sf_dir, "events").select(F.lit("c").alias("collection"), F.col("event_type").alias("field"), F.when(F.col("user_id") % 5 == 0, "write").otherwise("query").alias("kind"), (F.col("event_id") % 4 != 0).alias("full_scan"), F.col("value").alias("ms"))
+    return rounded(advisor.query_stats(log).select("field", "queries", "full_scans", "writes", "avg_ms"), "avg_ms")
+
+
+@query("SELECT count(*) AS n_rows, count(embedding) AS n_vectors, min(len(embedding)) AS least_dimensions, max(len(embedding)) AS most_dimensions, round(avg(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 4) AS mean_norm, round(max(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 4) AS largest_norm FROM embeddings")
+def vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vector.vector_stats(load(spark, sf_dir, "embeddings"), "embedding"), "mean_norm", "largest_norm")
+
+
+@query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(t) AS term FROM ({_tokens_sql('v1')})) WHERE term IN ('tion', 'heon')")
+def search_any_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(load(spark, sf_dir, "documents"), ["text"], PLAIN, "doc_id")
+    return term_candidates(index, ["tion", "heon"]).select(F.col("doc").alias("doc_id"))
+
+
+@query(_bm25_sql("v1", ["tion", "erat", "heon"], None).replace("SELECT doc_id, round(score, 4) AS score FROM r", "SELECT doc_id, round(score, 4) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 15 OFFSET 10"))
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(load(spark, sf_dir, "documents"), ["text"], PLAIN, "doc_id")
+    return rounded(search(index, SearchRequest("tion erat heon", limit=15, offset=10)).select(F.col("doc").alias("doc_id"), "score"), "score")
+
+
+@query(f"SELECT doc_id, count(*)::DOUBLE AS score FROM (SELECT doc_id, unnest(t) AS term FROM ({_tokens_sql('v1')})) WHERE regexp_matches(term, '^thean.*n$') GROUP BY 1 ORDER BY count(*) DESC, doc_id LIMIT 20")
+def search_regex_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(load(spark, sf_dir, "documents"), ["text"], PLAIN, "doc_id")
+    return search(index, SearchRequest(regex="^thean.*n$")).select(F.col("doc").alias("doc_id"), "score")
+
+
+def _fused_sql(method: str, where: str = "true") -> str:
+    near = f"SELECT vec_id, {COS} AS s FROM embeddings WHERE {where} ORDER BY s DESC, vec_id LIMIT 50"
+    far = f"SELECT vec_id, {SCORES['dot'].format(q=PROBE_SQL)} AS s FROM embeddings WHERE {where} ORDER BY s DESC, vec_id LIMIT 50"
+    part = "s" if method == "sum" else "1 / (60 + row_number() OVER (ORDER BY s DESC, vec_id))"
+    return f"SELECT _id, round(sum(x), 4) AS score FROM (SELECT vec_id AS _id, {part} AS x FROM ({near}) UNION ALL SELECT vec_id, {part} FROM ({far})) GROUP BY 1"
+
+
+@query(_fused_sql("rank"))
+def hybrid_rrf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    parts = {m: vector.knn(rows, "embedding", PROBE, 50, m, key="vec_id").select(F.col("vec_id").alias("_id"), "score") for m in ("cosine", "dot")}
+    return rounded(vector.fuse(parts, "rrf_rank"), "score")
+
+
+@query(f"""WITH f AS (SELECT vec_id, 1.0 AS s FROM embeddings WHERE label = 3), n AS (SELECT vec_id, {COS} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 30), u AS (SELECT vec_id, sum(s) AS score FROM (FROM f UNION ALL FROM n) GROUP BY 1)
+SELECT vec_id, round(score, 4) AS score FROM u ORDER BY u.score DESC, vec_id LIMIT 25 OFFSET 5""")
+def unified_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector.unified_query(load(spark, sf_dir, "embeddings"), {"label": 3}, {"field": "embedding", "vector": PROBE, "topK": 30}, limit=25, offset=5, key="vec_id")
+    return rounded(out.select("vec_id", "score"), "score")
+
+
+@query(f"""WITH t AS ({_bm25_sql("v2", ["tion", "heon"], 40).replace("round(score, 4)", "score")}) SELECT doc_id, round(0.5 * score, 4) AS "hybridScore" FROM t""")
+def hybrid_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = aggregate(docs, [{"$hybridSearch": {"text": {"field": "text", "query": "tion heon", "limit": 40}}}], key="doc_id")
+    return rounded(out.select("doc_id", "hybridScore"), "hybridScore")

@@ -57,6 +57,11 @@ class Schema:
             fields[name] = Field(f.get("type", "any"), **more)
         return cls(fields, bool(spec.get("strict", False)))
 
+    @classmethod
+    def restore(cls, saved: dict) -> Schema:
+        """From dataclasses.asdict, after a way through JSON."""
+        return cls({n: Field(**{**f, "enum": tuple(f["enum"])}) for n, f in saved["fields"].items()}, saved["strict"])
+
     def struct(self) -> T.StructType:
         """As a Spark schema, the rules in the metadata."""
         out = []

@@ -1,6 +1,6 @@
 """$match against a plain evaluator on generated rows and conditions."""
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 
 from quarryframe.plans.pipeline import aggregate
@@ -54,6 +54,7 @@ specs = st.recursive(simple, lambda s: st.tuples(st.sampled_from(["$or", "$nor",
 
 @settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
 @given(specs)
+@example({"n": {"$ne": True}})
 def test_match(spark, spec):
     df = spark.createDataFrame(ROWS, "_id string, n int, s string, b boolean")
     got = {r[0] for r in aggregate(df, [{"$match": spec}]).select("_id").collect()}
