@@ -9,9 +9,13 @@ pages merge in a tree, so that no task holds all pages of a host.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+import zlib
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -41,6 +45,8 @@ COMMENTS = re.compile(r"comment|disqus|repl(?:y|ies)|respond", re.I)
 MAIN_WORD = re.compile(r"(?:^|[\s_-])(?:article(?:body)?|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 #: a start of the first closes the second, up to the third
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
+#: Up to so many pairs of places two sequences are aligned by their longest common subsequence.
+LCS_CELLS = 250_000
 #: A text that every one of at least so many pages has in the same place is the host's, not the article's.
 CONSTANT_PAGES = 8
 
@@ -130,7 +136,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
 @dataclass
 class Node:
     """An element of a wrapper: how often it may occur ('1', '?', '+', '*'), and what it holds. A text (label '#') has its
-    value if that is the same wherever it was seen, else it is a slot. pages counts the pages, chars their text in it."""
+    value (a hash of it, however long) if that is the same wherever it was seen, else it is a slot. pages counts the pages, chars their text in it."""
 
     label: str
     often: str = "1"
@@ -191,13 +197,23 @@ def _merge(a: Node, b: Node, same_page: bool) -> Generator:
 
 
 def _align(a: list[Node], b: list[Node], same_page: bool) -> Generator:
-    """Aligns two sequences by their longest common subsequence of labels; what only one has becomes optional."""
+    """Aligns two sequences by their longest common subsequence of labels, or long ones mismatch by mismatch; what only one has
+    becomes optional."""
     out: list[Node] = []
     if [x.label for x in a] == [x.label for x in b]:
         for x, y in zip(a, b, strict=True):
             out.append((yield _merge(x, y, same_page)))
         return out
     n, m = len(a), len(b)
+    if n * m > LCS_CELLS:
+        for i, j in _steps([x.label for x in a], [x.label for x in b]):
+            if i is not None and j is not None:
+                out.append((yield _merge(a[i], b[j], same_page)))
+            else:
+                one = a[i] if j is None else b[j]
+                one.often = often(one.often, "?")
+                out.append(one)
+        return (yield _fold(out, True))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -218,6 +234,43 @@ def _align(a: list[Node], b: list[Node], same_page: bool) -> Generator:
     return (yield _fold(out, True))
 
 
+def _steps(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """An alignment of two long sequences, as pairs of places. At a mismatch the side whose label comes up again sooner on the
+    other one is what the other goes on to; what lies before it is skipped. No table of all pairs is made."""
+    at_a, at_b = defaultdict(list), defaultdict(list)
+    for places, labels in ((at_a, a), (at_b, b)):
+        for k, label in enumerate(labels):
+            places[label].append(k)
+
+    def after(places: list[int], k: int) -> int | None:
+        p = bisect_left(places, k)
+        return places[p] if p < len(places) else None
+
+    i, j = 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+            continue
+        in_b, in_a = after(at_b[a[i]], j), after(at_a[b[j]], i)
+        if in_b is None or in_a is not None and in_a - i < in_b - j:
+            yield i, None
+            i += 1
+        else:
+            yield None, j
+            j += 1
+    for k in range(i, len(a)):
+        yield k, None
+    for k in range(j, len(b)):
+        yield None, k
+
+
+def alike(a: Node, b: Node) -> bool:
+    """Whether neighbours may be one repeated group: they have one label, and where that says nothing (a plain div or section)
+    hold the same kinds of blocks. A menu, an article and a footer in plain blocks stay apart."""
+    return a.label == b.label and (a.label not in ("div", "section") or {c.label for c in a.children} == {c.label for c in b.children})
+
+
 def fold(items: list[Node], same_page: bool = True) -> list[Node]:
     """Neighbours of one label, or of two or three labels in turn, become one repeated group."""
     return _whole(_fold(items, same_page))
@@ -227,7 +280,7 @@ def _fold(items: list[Node], same_page: bool) -> Generator:
     for period in (1, 2, 3):
         i = 0
         while i + 2 * period <= len(items):
-            if all(items[i + k].label == items[i + period + k].label for k in range(period)):
+            if all(alike(items[i + k], items[i + period + k]) for k in range(period)):
                 for k in range(period):
                     one, two = items[i + k], items[i + period + k]
                     joined = yield _merge(one, two, same_page)
@@ -239,6 +292,10 @@ def _fold(items: list[Node], same_page: bool) -> Generator:
     return items
 
 
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def page_tree(page: str) -> Node:
     """A page as a wrapper of itself."""
     root = Node("")
@@ -253,80 +310,189 @@ def page_tree(page: str) -> Node:
             done.children = fold(done.children)
             done.chars = sum(c.chars for c in done.children)
         else:
-            stack[-1].children.append(Node("#", value=what if len(what) <= 400 else None, chars=len(what)))
+            stack[-1].children.append(Node("#", value=digest(what), chars=len(what)))
     root.children = fold(root.children)
     return root
 
 
-def region(wrapper: Node) -> tuple[list[str], list[str]]:
-    """Labels of the path to the article's region in a wrapper, and the texts in it that are the host's."""
+@dataclass
+class Region:
+    """Where the article is: for each step down its label, which of the wrapper's blocks of that label it is, what kinds of
+    blocks it holds, and what the others hold; texts in it that are the host's, by place and hash; and labels that look like
+    an aside's but hold the article."""
+
+    path: list[tuple[str, int, list[str], list[list[str]]]]
+    constant: set[tuple[int, str]] = field(default_factory=set)
+    kept: set[str] = field(default_factory=set)
+
+    def dump(self) -> str:
+        return json.dumps([self.path, sorted(self.constant), sorted(self.kept)])
+
+    @classmethod
+    def load(cls, text: str) -> Region:
+        path, constant, kept = json.loads(text)
+        return cls([tuple(p) for p in path], {(k, v) for k, v in constant}, set(kept))
+
+
+def place(above: int, label: str) -> int:
+    """A number for the labels on the way down to a block."""
+    return zlib.crc32(label.encode("utf-8", "surrogatepass"), above)
+
+
+def named_aside(node: Node) -> bool:
+    """Whether a block counts as an aside only for its names, which may be wrong; comments are believed."""
+    return node.aside and node.label.partition(".")[0] not in ASIDE and not COMMENTS.search(node.label)
+
+
+#: A block named like an aside that has this share of the text outside of real ones holds the article.
+MOST = 0.6
+
+
+def misnamed(wrapper: Node) -> set[str]:
+    """Labels of the blocks that are named like asides, but hold most of what the host's pages say."""
+    total, named, todo = 0, [], [wrapper]
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if c.label == "#":
+                total += c.chars
+            elif not c.aside or named_aside(c):
+                if c.aside:
+                    named.append(c)
+                todo.append(c)
+    return {c.label for c in named if c.chars and c.chars >= MOST * total}
+
+
+def region(wrapper: Node) -> Region:
+    """The article's region in a wrapper."""
+    kept = misnamed(wrapper)
     best: tuple[int, int, tuple, Node] | None = None
-    todo: list[tuple[Node, tuple]] = [(wrapper, ())]  # a path is (path above, label)
+    todo: list[tuple[Node, tuple]] = [(wrapper, ())]  # a path is (path above, parent, node)
     while todo:
         node, path = todo.pop()
         for c in node.children:
-            if c.aside or c.label == "#":
+            if c.aside and c.label not in kept or c.label == "#":
                 continue
             name, _, marks = c.label.partition(".")
             rank = 3 if name == "article" else 2 if name == "main" else 1 if marks and MAIN_WORD.search(marks.replace(".", " ")) else 0
             if rank and c.chars and (best is None or (rank > 1, c.chars if rank < 2 else 0, rank, c.chars) > (best[0] > 1, best[1] if best[0] < 2 else 0, best[0], best[1])):
-                best = (rank, c.chars, (path, c.label), c)
-            todo.append((c, (path, c.label)))
+                best = (rank, c.chars, (path, node, c), c)
+            todo.append((c, (path, node, c)))
     if best is None:
+        order = [wrapper]
+        for node in order:
+            order += node.children
+        said: dict[int, int] = {}  # characters of slots; what all pages say tells nothing
+        for node in reversed(order):
+            said[id(node)] = (0 if node.value is not None and node.pages >= CONSTANT_PAGES else node.chars) if node.label == "#" else sum(said[id(c)] for c in node.children)
         node, path = wrapper, ()
         while True:
             # where one block has most of the slots' text, the article is in it
-            inner = [c for c in node.children if c.label != "#" and not c.aside]
-            total = sum(c.chars for c in node.children if not c.aside)
-            chosen = max(inner, key=lambda c: c.chars, default=None)
-            if chosen is None or chosen.chars < 0.7 * total or chosen.often in "+*" or all(c.label == "#" for c in chosen.children):
+            inner = [c for c in node.children if c.label != "#" and (not c.aside or c.label in kept)]
+            total = sum(said[id(c)] for c in node.children if not c.aside or c.label in kept)
+            chosen = max(inner, key=lambda c: said[id(c)], default=None)
+            if chosen is None or said[id(chosen)] < 0.7 * total or chosen.often in "+*" or all(c.label == "#" for c in chosen.children):
                 break
-            node, path = chosen, (path, chosen.label)
+            node, path = chosen, (path, node, chosen)
         best = (0, node.chars, path, node)
-    constant, slots, todo2 = [], 0, [best[3]]
+    constant, slots, todo2 = set(), 0, [(best[3], 0)]
     while todo2:
-        node = todo2.pop()
+        node, at = todo2.pop()
         for c in node.children:
             if c.label != "#":
-                todo2.append(c)
+                todo2.append((c, place(at, c.label)))
             elif c.value is not None and c.pages >= CONSTANT_PAGES and c.pages >= 0.9 * best[3].pages:
-                constant.append(c.value)
+                constant.add((at, c.value))
             else:
                 slots += c.chars
-    labels, up = [], best[2]
+    steps, up = [], best[2]
     while up:
-        up, label = up
-        labels.append(label)
-    return labels[::-1], constant if slots else []
-
-
-def extract(page: str, path: list[str] | None, constant: set[str] | frozenset = frozenset()) -> str:
-    """Text of the blocks of a page in the region at path, but those in asides and the host's own; where the page has no such
-    region, its own wrapper's."""
-    if path is None:
-        return extract(page, region(page_tree(page))[0])
-    n, depth, matched, aside_at = len(path), 0, 0, 0
-    found, blocks = n == 0, []
+        up, parent, node = up
+        same = [c for c in parent.children if c.label == node.label]
+        at = next(i for i, c in enumerate(same) if c is node)
+        steps.append((node.label, at, sorted({c.label for c in node.children}), [sorted({c.label for c in x.children}) for x in same if x is not node]))
+    return Region(steps[::-1], constant if slots else set(), kept)
+
+
+@dataclass
+class Block:
+    """A block of a page, or a text in one (label '#')."""
+
+    label: str
+    aside: bool = False
+    children: list[Block] = field(default_factory=list)
+    text: str = ""
+
+
+def blocks_of(page: str) -> Block:
+    root = Block("")
+    stack = [root]
     for kind, what, aside in events(page):
         if kind == "open":
-            depth += 1
-            if matched == depth - 1 and matched < n and what == path[matched]:
-                matched += 1
-                found = found or matched == n
-            # inside the article a header is the article's own
-            if aside and not aside_at and not (matched == n and what.startswith("header")):
-                aside_at = depth
+            stack[-1].children.append(Block(what, aside))
+            stack.append(stack[-1].children[-1])
         elif kind == "close":
-            if aside_at == depth:
-                aside_at = 0
-            depth -= 1
-            matched = min(matched, depth)
-        elif matched == n and not aside_at and what not in constant:
-            blocks.append(what)
-    if not found:
-        own = region(page_tree(page))[0]
-        return extract(page, own) if own != path else ""
-    return " ".join(blocks)
+            stack.pop()
+        else:
+            stack[-1].children.append(Block("#", text=what))
+    return root
+
+
+def _meant(found: list[Block], at: int, own: list[str], others: list[list[str]]) -> list[Block]:
+    """Of a page's blocks of one label those that the wrapper means: by what they hold; else by their place, if there are as
+    many as in the wrapper; else the one with the most text."""
+    if len(found) < 2 or not others:
+        return found
+
+    def like(c: Block, kinds: list[str]) -> float:
+        x, y = {b.label for b in c.children}, set(kinds)
+        return len(x & y) / max(len(x | y), 1)
+
+    sure = [c for c in found if like(c, own) > max(like(c, o) for o in others)]
+    if sure:
+        return sure
+    if len(found) == 1 + len(others):
+        return [found[at]]
+
+    def size(c: Block) -> int:
+        n, todo = 0, [c]
+        while todo:
+            x = todo.pop()
+            n += len(x.text)
+            todo += x.children
+        return n
+
+    return [max(found, key=size)]
+
+
+def extract(page: str, chosen: Region | None) -> str:
+    """Text of the blocks of a page in the wrapper's region, but those in asides and the host's own; where the page has no such
+    region, in that of its own wrapper."""
+    return _extract(blocks_of(page), page, chosen)
+
+
+def _extract(root: Block, page: str, chosen: Region | None) -> str:
+    own = chosen is None
+    if own:
+        chosen = region(page_tree(page))
+    at = [root]
+    for label, number, holds, others in chosen.path:
+        at = [c for node in at for c in _meant([c for c in node.children if c.label == label and (not c.aside or label in chosen.kept)], number, holds, others)]
+    if not at:
+        return "" if own else _extract(root, page, None)
+    out: list[str] = []
+    todo = [(node, 0) for node in reversed(at)]
+    while todo:
+        node, key = todo.pop()
+        if node.label == "#":
+            if (key, digest(node.text)) not in chosen.constant:
+                out.append(node.text)
+            continue
+        for c in reversed(node.children):
+            # inside the article a header is the article's own
+            if not c.aside or c.label in chosen.kept or c.label.startswith("header"):
+                todo.append((c, key if c.label == "#" else place(key, c.label)))
+    return " ".join(out)
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -334,8 +500,9 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def infer_wrappers(pages: DataFrame, group_pages: int = 256, fan_in: int = 32) -> DataFrame:
-    """(host, wrapper json, n_pages), from all pages. Groups of about group_pages pages of a host are aligned, then fan_in
-    partial wrappers at a time are merged, as often as the largest host needs."""
+    """(host, wrapper json, n_pages), from all pages. The pages of a host that come by in one task are aligned one after the
+    other; then fan_in partial wrappers at a time are merged, as often as the largest host needs if each of its tasks has
+    group_pages of its pages."""
     hosts = pages.groupBy("host").agg(F.count("*").alias("n"))
     most = hosts.agg(F.max("n")).first()[0] or 0
     parts = max(1, -(-most // group_pages))
@@ -390,7 +557,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [region(Node.load(json.loads(w))) for w in b.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([json.dumps(f) for f in found]), b.column("n_pages")], names=["host", "region", "n_pages"])
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([f.dump() for f in found], pa.string()), b.column("n_pages")], names=["host", "region", "n_pages"])
 
     regions = stored(infer_wrappers(p).mapInArrow(choose, "host string, region string, n_pages long"), "regions")
     size = regions.agg(F.sum(F.octet_length("region") + F.octet_length("host") + 64)).first()[0] or 0
@@ -402,16 +569,15 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
         joined = counted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("salts"))).join(salts, ["host", "salt"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[list[str], frozenset]] = {}
+        cache: dict[str | None, Region | None] = {}
         for b in batches:
             texts = []
             for page, chosen in zip(b.column("html"), b.column("region").to_pylist(), strict=True):
                 if chosen not in cache:
                     if len(cache) > 10_000:
                         cache.clear()
-                    path, constant = json.loads(chosen) if chosen else (None, [])
-                    cache[chosen] = (path, frozenset(constant))
-                texts.append(extract(page.as_py() or "", *cache[chosen]))
+                    cache[chosen] = Region.load(chosen) if chosen else None
+                texts.append(extract(page.as_py() or "", cache[chosen]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", "html", "region").mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -102,6 +102,21 @@ def test_line_runs_in_batches(spark, docs, corpus):
     assert [r.line for r in runs.new_lines(new).collect()] == ["never seen"]
 
 
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_line_dedup_by_batches(spark, docs, corpus, fanout):
+    """The query's way: batches anti-joined with what is settled, runs compacted."""
+    runs = line_dedup.LineRuns(spark, work_path(spark, "runs"), fanout)
+    runs.add_in_batches(docs, 4, settled=10)
+    assert [lv for lv, _ in runs.runs()] == ([2] if fanout == 2 else [1, 0])
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in line_dedup.drop_frequent_lines(docs, runs, 10).collect()}
+    assert got == lines_by_hand(corpus, 10)
+    # a key of many documents stops being added
+    same = spark.createDataFrame([(i, "a line of all") for i in range(400)], "doc_id long, text string")
+    runs = line_dedup.LineRuns(spark, work_path(spark, "runs"), 99)
+    runs.add_in_batches(same, 4, settled=10)
+    assert 50 < runs.read().agg(F.sum("n")).first()[0] < 150 and runs.read().count() == 1
+
+
 def test_line_dedup_edges(spark, messy, empty):
     runs = line_dedup.LineRuns(spark, work_path(spark, "runs"))
     runs.add(messy)
@@ -152,10 +167,18 @@ def test_substring_dedup_in_batches(spark, docs, corpus):
     substring_dedup.dedup_windows(first, index).count()
     got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup.dedup_windows(second, index, first).collect()}
     assert got == {i: v for i, v in windows_by_hand(corpus, 20)[0].items() if i >= 100}
-    index.compact()
     assert [lv for lv, _ in index.runs()] == [1]
 
 
+def test_substring_dedup_by_batches(spark, docs, corpus):
+    """The query's way: one table as several batches, merge-joined with the runs before and compacted."""
+    index = substring_dedup.FingerprintIndex.for_docs(docs, work_path(spark, "fp"), 3000, fanout=2)
+    assert index.n_chunks > 8
+    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup.dedup_windows(docs, index, batches=5).collect()}
+    assert got == windows_by_hand(corpus, 20)[0]
+    assert [lv for lv, _ in index.runs()] == [2, 0]
+
+
 def test_substring_dedup_edges(spark, messy, empty):
     text = " ".join(map(str, range(25)))
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
@@ -548,6 +571,63 @@ def test_wrapper_alignment():
     assert html_wrapper.Node.load(w.dump()) == w
 
 
+def texts_of(pages):
+    w = None
+    for p in pages:
+        tree = html_wrapper.page_tree(p)
+        w = tree if w is None else html_wrapper.merge(w, tree)
+    r = html_wrapper.Region.load(html_wrapper.region(html_wrapper.Node.load(w.dump())).dump())
+    return [html_wrapper.extract(p, r) for p in pages]
+
+
+@pytest.mark.parametrize("name", ["widget-content", "story related", "search result", "header-content", "share article", "alert"])
+def test_articles_named_like_asides(name):
+    pages = [f"<body><nav>Home</nav><div class='{name}'><h1>Title {i}</h1><p>The article number {i} and all of its long text</p></div><div class='related'><a>Other {i}</a></div><footer>(c)</footer></body>" for i in range(12)]
+    assert texts_of(pages) == [f"Title {i} The article number {i} and all of its long text" for i in range(12)]
+    assert html_wrapper.extract(pages[3], None) == "Title 3 The article number 3 and all of its long text"
+
+
+def test_plain_blocks():
+    pages = [f"<body><div>Home News</div><div><h1>Title {i}</h1><p>Words of {i}</p><p>and more of them</p></div><div>Copyright us</div></body>" for i in range(20)]
+    pages[7] = pages[7].replace("<div>Home News</div>", "<div>Home News</div><div>Extra menu</div>")
+    assert texts_of(pages) == [f"Title {i} Words of {i} and more of them" for i in range(20)]
+
+
+def test_host_texts_go_by_their_place():
+    note = "Read our terms. " * 60
+    pages = [f"<body><article><h1>Title {i}</h1><p>Word {i}</p><p>{note.strip() if i == 4 else 'x'}</p><div class=legal><span>{note}</span></div></article></body>" for i in range(20)]
+    got = texts_of(pages)
+    assert got[4] == f"Title 4 Word 4 {note.strip()}" and got[5] == "Title 5 Word 5 x"
+
+
+def test_long_lists_are_aligned_in_time():
+    import time
+
+    rng = random.Random(3)
+    tags = ["p", "h2", "ul", "pre", "table", "blockquote"]
+    lists = ["".join(f"<{t}>{rng.random()}</{t}>" for t in rng.choices(tags, k=6_000)) for _ in range(2)]
+    began = time.time()
+    w = html_wrapper.merge(*(html_wrapper.page_tree(f"<article>{x}</article>") for x in lists))
+    assert time.time() - began < 30
+    got = html_wrapper.extract(f"<article>{lists[0]}</article>", html_wrapper.region(w))
+    assert got == " ".join(re.findall(r">([\d.e-]+)<", lists[0]))
+
+
+def test_steps_align():
+    for a, b in (("abcd", "abxcd"), ("abc", ""), ("", "ab"), ("aabbcc", "abc"), ("xyz", "abc")):
+        steps = list(html_wrapper._steps(list(a), list(b)))
+        assert [i for i, _ in steps if i is not None] == list(range(len(a))) and [j for _, j in steps if j is not None] == list(range(len(b)))
+        assert all(a[i] == b[j] for i, j in steps if i is not None and j is not None)
+    assert sum(i is not None and j is not None for i, j in html_wrapper._steps(list("abcd"), list("abxcd"))) == 4
+
+
+def test_html_edges(spark):
+    rows = [(1, "http://a/1", "<p>x</p>", "k"), (1, "http://a/1", "<p>x</p>", "k"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, HTML string")
+    assert sorted((r.page_id or 0, r.text) for r in html_wrapper.main_text(df).collect()) == [(0, ""), (1, "x"), (1, "x")]
+    assert html_wrapper.main_text(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("depth", [60, 3000])
 def test_articles_under_many_blocks(spark, depth):
     html = lambda i: "<div class=title><h1>Heading</h1></div>" + "<div>" * depth + f"<p>The whole article {i}</p><p>and its end</p>" + "</div>" * depth
