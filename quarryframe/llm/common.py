@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach. It is the cluster's spark.checkpoint.dir; where that is unset, as in
-    tests on one machine, a folder is made once and set."""
+    """The folder that every executor can reach. It is the cluster's spark.checkpoint.dir; where that is unset and Spark runs in
+    one process, as in tests, a folder is made once and set."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not at:
         at = getattr(shared_dir, "own", None)
         if at is None:
@@ -38,6 +41,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of plans that are done with. Spark deletes them when the driver's JVM collects these plans, which
+    on a quiet driver may take as long as the job; so it is asked to, where much was shuffled."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def local_path(uri: str) -> str:
     """file:// addresses as plain paths; others unchanged."""
     for prefix in ("file://", "file:"):
@@ -93,6 +103,11 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
 def delete_dir(spark: SparkSession, path: str) -> None:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

@@ -19,6 +19,8 @@ BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Frequent keys up to this count are broadcast (32 MB of hashes); beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
+#: The query puts its table in as so many batches.
+BATCHES = 4
 
 
 def ascii_lower(text: Column) -> Column:
@@ -60,14 +62,26 @@ class LineRuns:
     def _write(self, df: DataFrame, name: str) -> None:
         df.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(f"{self.path}/{name}")
 
-    def add(self, docs: DataFrame, distinct_texts: bool = False) -> str:
-        """Adds a batch as one sorted run, then merges full levels. With distinct_texts, equal texts of the batch count once."""
+    def add(self, docs: DataFrame, distinct_texts: bool = False, settled: int | None = None) -> str:
+        """Adds a batch as one sorted run, then merges full levels. With distinct_texts, equal texts of the batch count once.
+
+        With settled, keys that the runs hold in so many documents already are decided: the batch is merge-anti-joined with
+        them, and only its other keys are added, so that the hot lines of a corpus aren't written with every batch."""
         batch = max([int(n.split("-")[2]) for _, n in self.runs()], default=-1) + 1
         name = f"L0-{batch}-{batch}"
-        self._write(document_counts(docs, distinct_texts=distinct_texts), name)
+        counts = document_counts(docs, distinct_texts=distinct_texts)
+        if settled is not None and batch:
+            counts = counts.join(self.frequent(settled).hint("merge"), ["h1", "h2"], "left_anti")
+        self._write(counts, name)
         self.compact()
         return name
 
+    def add_in_batches(self, docs: DataFrame, batches: int, settled: int | None = None) -> None:
+        """Adds a table as several batches by a hash of doc_id, each a run of its own."""
+        d = columns(docs, doc_id="long", text="string")
+        for i in range(batches):
+            self.add(d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), settled=settled)
+
     def compact(self) -> None:
         level = 0
         while True:
@@ -159,7 +173,7 @@ def without_frequent_lines(docs: DataFrame, runs: LineRuns, min_docs: int) -> Da
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     runs = LineRuns(spark, work_path(spark, "line-runs"))
-    runs.add(docs)
+    runs.add_in_batches(docs, BATCHES, settled=10)
     out = drop_frequent_lines(docs, runs, min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, delete_dir, list_dirs, table, total_bytes, work_path
+from .common import columns, delete_dir, list_dirs, path_exists, table, total_bytes, work_path
 from .npwords import U, covered, gram_hash, inside, mix, sliding_min, slices, span_hash, text_arrays, words
 
 WINDOW, SHINGLE = 20, 8
 CHUNK_BYTES = 8 << 20
+#: The query puts its table in as so many batches.
+BATCHES = 4
 RUN = "kind string, bucket long, chunk long, keys binary, chunks binary"
 RUN_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("chunks", pa.binary())])
 RESULT = "doc_id long, gen int, n_words long, n_removed long, kept binary, kept_sha256 string"
@@ -90,12 +92,20 @@ class FingerprintIndex:
         return [(r[0], r[3]) for r in sorted(live, key=lambda r: r[1])]
 
     def read(self, names: list[str], kind: str) -> DataFrame:
-        parts = [self.spark.read.schema(RUN).parquet(f"{self.path}/{n}").filter(F.col("kind") == kind) for n in names]
-        return reduce(DataFrame.unionAll, parts)
+        """Rows of a kind in some runs; a folder of a kind that has none isn't there."""
+        found = [f"{self.path}/{n}/kind={kind}" for n in names]
+        found = [p for p in found if path_exists(self.spark, p)]
+        rows = "bucket long, chunk long, keys binary, chunks binary"
+        if not found:
+            return self.spark.createDataFrame([], rows)
+        return reduce(DataFrame.unionAll, [self.spark.read.schema(rows).parquet(p) for p in found])
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/{name}")
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch as a run. Returns (chunk, keys): the fingerprints of it that are in two chunks of the index, for every
-        chunk that holds them, also of earlier batches."""
+        """Adds a batch as a run, then compacts full levels. Returns (chunk, keys): the fingerprints of it that are in two chunks
+        of the index, for every chunk that holds them, also of earlier batches."""
         window, shingle, n_buckets = self.window, self.shingle, self.n_buckets
 
         def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,16 +169,19 @@ class FingerprintIndex:
             return pa.table([pa.array([r[i] for r in rows], RUN_ARROW.field(i).type) for i in range(5)], schema=RUN_ARROW)
 
         live = [n for _, n in self.runs()]
-        past = self.read(live, "run").select("bucket", "keys", "chunks") if live else self.spark.createDataFrame([], "bucket long, keys binary, chunks binary")
+        past = self.read(live, "run").select("bucket", "keys", "chunks")
         new = self.chunked(docs, 1).select("text", "chunk").mapInArrow(fingerprints, "bucket long, chunk long, keys binary")
         merged = new.groupBy("bucket").cogroup(past.groupBy("bucket")).applyInArrow(merge, RUN)
         batch = max([int(n.split("-")[2]) for n in live], default=-1) + 1
         name = f"L0-{batch}-{batch}"
-        merged.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.read([name], "hit").select("chunk", "keys")
+        self._write(merged, name)
+        hits = self.read([name], "hit").select("chunk", "keys")
+        self.compact()
+        return hits
 
     def compact(self) -> None:
-        """Merges the runs of each level that holds `fanout` of them into one of the next."""
+        """Merges the runs of each level that holds `fanout` of them into one of the next. The hits that add() found with a run
+        stay where they are."""
 
         def merge(t: pa.Table) -> pa.Table:
             key = np.concatenate([np.frombuffer(x, U) for x in t.column("keys").to_pylist()])
@@ -184,9 +197,9 @@ class FingerprintIndex:
             same = [n for lv, n in live if lv == level]
             if len(same) >= self.fanout:
                 merged = self.read(same, "run").groupBy("bucket").applyInArrow(merge, RUN)
-                merged.write.mode("overwrite").parquet(f"{self.path}/L{level + 1}-{same[0].split('-')[1]}-{same[-1].split('-')[2]}")
+                self._write(merged, f"L{level + 1}-{same[0].split('-')[1]}-{same[-1].split('-')[2]}")
                 for n in same:
-                    delete_dir(self.spark, f"{self.path}/{n}")
+                    delete_dir(self.spark, f"{self.path}/{n}/kind=run")
             elif level >= max([lv for lv, _ in live], default=0):
                 return
             level += 1
@@ -226,17 +239,17 @@ def _later(h: np.ndarray, g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ~first
 
 
-def dedup_windows(docs: DataFrame, index: FingerprintIndex, history: DataFrame | None = None, with_text: bool = True) -> DataFrame:
+def dedup_windows(docs: DataFrame, index: FingerprintIndex, history: DataFrame | None = None, with_text: bool = True, batches: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256 for every row of docs, which
-    becomes a batch of the index.
+    becomes a batch of the index, or several by chunk, which are merge-joined with the runs one after the other.
 
     A word goes if a window of it has the words of a window that starts earlier: in history (the documents of the index's
     earlier batches), in a smaller doc_id, or before it in the same document. Windows are judged on the input. Null texts
     have no words. A null doc_id counts as the largest; rows of one doc_id are ordered by text, so that of equal rows the
     first stays whole. Texts with fewer words than a window stay whole."""
     window, shingle, n_buckets = index.window, index.shingle, index.n_buckets
-    hits = index.add(docs)
     texts = index.chunked(docs, 1)
+    hits = reduce(DataFrame.unionAll, [index.add(texts.filter(F.col("chunk") % batches == i) if batches > 1 else docs) for i in range(batches)])
     if history is not None:
         texts = index.chunked(history, 0).unionAll(texts)
 
@@ -330,7 +343,7 @@ def _rows(t: pa.Table, w: Windows, gone: np.ndarray, with_text: bool) -> pa.Tabl
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = FingerprintIndex.for_docs(docs, work_path(spark, "fingerprints"))
-    return dedup_windows(docs, index, with_text=False).drop("kept")
+    return dedup_windows(docs, index, with_text=False, batches=BATCHES).drop("kept")
 
 
 OP9_SQL = r"""
