@@ -1,15 +1,16 @@
 """Co-trained quality classifier.
 
 Two views of a document, its text (hashed words and shares of kinds of characters) and its page metadata (source, language,
-length), are fitted as logistic regressions on a bounded sample of labelled rows. Over rounds each view labels those rows
-of a bounded unlabelled sample that it is surest of, for the other view to learn from. Both are calibrated on held-out
+length), are fitted as logistic regressions on a bounded sample of labelled rows. Both then score all unlabelled documents,
+and over rounds each view labels those that it is surest of, for the other view to learn from. Both are calibrated on held-out
 labels, combined there, and then score every document. A good document has quality 1 and toxic 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, table
+from .common import columns, stored, table
 from .npwords import LETTER, LOWER, U, slices, span_hash, text_arrays, words
 
 BITS = 16
@@ -30,11 +31,10 @@ _KINDS = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(48, 58
 
 @dataclass(frozen=True)
 class Settings:
-    """max_labelled and max_unlabelled bound the samples that are fitted; nothing else depends on them. A document is rejected
-    when its probability of being good is under the threshold."""
+    """max_labelled bounds the sample of labelled rows that is fitted. In each round a view labels at most per_round documents of
+    each class, the surest of all. A document is rejected when its probability of being good is under the threshold."""
 
     max_labelled: int = 12_000
-    max_unlabelled: int = 6_000
     rounds: int = 3
     confident: float = 0.95
     per_round: int = 500
@@ -245,8 +245,9 @@ def _with_metadata(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> bytes | None:
     """Fits on at most max_labelled labelled documents (an equal share of each combination of labels, chosen by a hash of
-    doc_id) and max_unlabelled others, in one task. None if no document is labelled. Labels with a null are left out; of
-    several labels of a document the worst counts."""
+    doc_id), in one task; scores every unlabelled document by either view; and co-trains with those of all of them that a view
+    is surest of, as many as the rounds can label. None if no document is labelled. Labels with a null are left out; of several
+    labels of a document the worst counts."""
     d = _with_metadata(docs)
     known = columns(labels, doc_id="long", quality="int", toxic="int").dropna()
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -259,10 +260,6 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             some = known.filter((F.col("quality") == quality) & (F.col("toxic") == toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share)
             picked = some if picked is None else picked.unionAll(some)
     picked = picked.select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).otherwise(0.0).alias("y"))
-    ids = d.select("doc_id").dropna().join(known.select("doc_id"), "doc_id", "left_anti")
-    pool = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_unlabelled).distinct().select("doc_id", F.lit(None).cast("double").alias("y"))
-    # at most max_labelled + max_unlabelled pairs of 16 bytes
-    sample = d.join(F.broadcast(picked.unionAll(pool)), "doc_id").dropDuplicates(["doc_id"])
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
                     names=["doc_id", "y", "col", "val", "meta"],
                 )
 
-    def learn(t: pa.Table) -> pa.Table:
+    def learn(t: pa.Table, s: Settings) -> pa.Table:
         t = t.sort_by("doc_id")
         y = t.column("y").to_numpy()
         cols, vals = t.column("col").to_pylist(), t.column("val").to_pylist()
@@ -286,12 +283,27 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         known, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
         if not len(known):
             return pa.table([pa.array([], pa.binary())], names=["model"])
-        model = co_train(text.take(known), meta.take(known), y[known], text.take(pool), meta.take(pool), settings, n_good / n_known)
+        model = co_train(text.take(known), meta.take(known), y[known], text.take(pool), meta.take(pool), s, n_good / n_known)
         return pa.table([pa.array([_dump(model)], pa.binary())], names=["model"])
 
-    features = sample.mapInArrow(featurize, "doc_id long, y double, col binary, val binary, meta binary")
-    found = features.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(learn, "model binary").collect()
-    return bytes(found[0][0]) if found else None
+    def features(ids: DataFrame) -> DataFrame:
+        # at most max_labelled, or what the rounds can label, pairs of 16 bytes
+        sample = d.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+        return sample.mapInArrow(featurize, "doc_id long, y double, col binary, val binary, meta binary")
+
+    def fitted(rows: DataFrame, s: Settings) -> bytes | None:
+        found = rows.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(lambda t: learn(t, s), "model binary").collect()
+        return bytes(found[0][0]) if found else None
+
+    labelled = stored(features(picked), "labelled")
+    first = fitted(labelled, replace(settings, rounds=0))
+    if first is None or not settings.rounds or not settings.per_round:
+        return first
+    scores = classify(d.filter(F.col("doc_id").isNotNull()), first, settings).select("doc_id", "p_text", "p_meta")
+    others = stored(scores.join(known.select("doc_id"), "doc_id", "left_anti"), "scores")
+    surest = [others.orderBy(F.col(p) if bad else F.desc(p), F.xxhash64("doc_id"), "doc_id").limit(settings.rounds * settings.per_round).select("doc_id") for p in ("p_text", "p_meta") for bad in (False, True)]
+    pool = reduce(DataFrame.unionAll, surest).distinct().select("doc_id", F.lit(None).cast("double").alias("y"))
+    return fitted(labelled.unionAll(features(pool)), settings)
 
 
 def classify(docs: DataFrame, model: bytes | None, settings: Settings = Settings()) -> DataFrame:
