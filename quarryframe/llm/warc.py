@@ -68,6 +68,14 @@ def _record_head(page_id: int | None, url: str | None, n: int, digest: str, kind
     return "\r\n".join(lines).encode(), http.encode()
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address and the path in it. Hadoop's names for an object store are Arrow's s3."""
+    for name in ("s3a://", "s3n://"):
+        if uri.startswith(name):
+            uri = "s3://" + uri[len(name) :]
+    return pafs.FileSystem.from_uri(uri) if ":" in uri.partition("/")[0] else (pafs.LocalFileSystem(), uri)
+
+
 def write_warc(records: DataFrame, path: str, file_bytes: int = 64 << 20, step: int = 1 << 20) -> DataFrame:
     """Writes rows of with_record_types() below path, in files of about file_bytes, and returns the stored manifest.
 
@@ -75,7 +83,7 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = 64 << 20, step:
     is lost or runs twice leaves an unused file at most."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = file_system(path)
         fs.create_dir(root, recursive=True)
         out, name, size, count = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
@@ -83,8 +91,8 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = 64 << 20, step:
             for i in range(batch.num_rows):
                 page_id, url, payload, kind, refers_to = (batch.column(c)[i] for c in ("page_id", "url", "payload", "record_type", "refers_to"))
                 if out is None:
-                    name, size, count = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(name)
+                    name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = fs.open_output_stream(f"{root}/{name}")
                 body = memoryview(payload.as_buffer())
                 head, http = _record_head(page_id.as_py(), url.as_py(), len(body), b32(hashlib.sha1(body).digest()), kind.as_py(), refers_to.as_py())
                 if kind.as_py() == "revisit":
@@ -97,11 +105,11 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = 64 << 20, step:
                 count += 1
                 if size >= file_bytes:
                     out.close()
-                    done.append((name, count, size))
+                    done.append((f"{path}/{name}", count, size))
                     out = None
         if out is not None:
             out.close()
-            done.append((name, count, size))
+            done.append((f"{path}/{name}", count, size))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "n_records", "n_bytes"])
 
     manifest = f"{path}-manifest"
@@ -214,7 +222,7 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = 256 << 10, files_per_tas
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                fs, local = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+                fs, local = file_system(path)
                 rows: list[dict] = []
                 size = 0
                 with fs.open_input_stream(local) as raw:
