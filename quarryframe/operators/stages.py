@@ -30,6 +30,8 @@ class Frame:
     context: Context = field(default_factory=Context)
     #: set by $sort: the order that $limit, $skip, $first and $push go by
     order: Order | None = None
+    #: whether the rows still lie in that order; a join may have moved them
+    in_order: bool = False
 
     @property
     def paths(self) -> Resolver:
@@ -119,21 +121,21 @@ def sort_stage(f: Frame, spec: dict) -> Frame:
     helpers = [k for k, _ in keys if k.startswith("__sort_")]
     if helpers:
         return replace(f, df=out.drop(*helpers), order=None)
-    return replace(f, df=out, order=order)
+    return replace(f, df=out, order=order, in_order=True)
 
 
 def _sorted(f: Frame) -> DataFrame:
-    """Rows in arrival order; a $sort before has put them so."""
+    """Rows in arrival order; a $sort before may have put them so."""
     order = f.arrival()
-    return f.df if f.order or order is None else f.df.orderBy(*order.columns())
+    return f.df if f.order and f.in_order or order is None else f.df.orderBy(*order.columns())
 
 
 def limit_stage(f: Frame, n: int) -> Frame:
-    return f.with_df(_sorted(f).limit(int(n)))
+    return replace(f.with_df(_sorted(f).limit(int(n))), in_order=True)
 
 
 def skip_stage(f: Frame, n: int) -> Frame:
-    return f.with_df(_sorted(f).offset(int(n)))
+    return replace(f.with_df(_sorted(f).offset(int(n))), in_order=True)
 
 
 def project_stage(f: Frame, spec: dict) -> Frame:
@@ -182,7 +184,23 @@ def lookup_stage(f: Frame, spec: dict) -> Frame:
     grouped = other.groupBy(foreign.col.alias("__fk")).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
     out = f.df.join(grouped, local_col.eqNullSafe(F.col("__fk")), "left")
     kind = grouped.schema["__rows"].dataType
-    return f.with_df(out.withColumn(into, F.coalesce("__rows", F.array().cast(kind))).drop("__fk", "__rows"))
+    return replace(f.with_df(out.withColumn(into, F.coalesce("__rows", F.array().cast(kind))).drop("__fk", "__rows")), in_order=False)
+
+
+def lookup_unwound(f: Frame, spec: dict, unwind: str | dict) -> Frame | None:
+    """A $lookup whose array the next stage takes apart again, as the join that it is: no array is made of a hot key's rows, and
+    only the fields that are used are read. None where that isn't the same, as with an index into the array."""
+    unwind = {"path": unwind} if isinstance(unwind, str) else unwind
+    other, into = f.context.collections.get(spec["from"]), spec["as"]
+    if other is None or unwind["path"].lstrip("$") != into or unwind.get("includeArrayIndex"):
+        return None
+    local, foreign = as_key(f.paths.get(spec["localField"])), as_key(Resolver(other.schema).get(spec["foreignField"]))
+    if local.is_missing or foreign.is_missing:
+        return None
+    rows = other.select(foreign.col.alias("__fk"), F.struct(*[F.col(quoted(c)) for c in other.columns]).alias("__row"))
+    out = f.df.withColumn("__lk", local.col).join(rows, F.col("__lk").eqNullSafe(F.col("__fk")), "left" if unwind.get("preserveNullAndEmptyArrays") else "inner")
+    out = out.withColumn(into, F.col("__row")).drop("__lk", "__fk", "__row")
+    return replace(f.with_df(out), in_order=False)
 
 
 def unwind_stage(f: Frame, spec: str | dict) -> Frame:

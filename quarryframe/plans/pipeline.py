@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from ..operators.stages import STAGES, Context, Frame
+from ..operators.stages import STAGES, Context, Frame, lookup_unwound
 
 VECTOR_ACCUMULATORS = ("$avgVectorScore", "$maxVectorScore", "$minVectorScore", "$centroid", "$topN")
 
@@ -39,8 +39,13 @@ def parse(pipeline: str | list) -> list[tuple[str, Any]]:
 
 
 def apply(frame: Frame, pipeline: str | list) -> Frame:
-    for name, spec in parse(pipeline):
-        frame = STAGES[name](frame, spec)
+    stages = parse(pipeline)
+    i = 0
+    while i < len(stages):
+        name, spec = stages[i]
+        joined = lookup_unwound(frame, spec, stages[i + 1][1]) if name == "$lookup" and i + 1 < len(stages) and stages[i + 1][0] == "$unwind" else None
+        frame = STAGES[name](frame, spec) if joined is None else joined
+        i += 1 if joined is None else 2
     return frame
 
 

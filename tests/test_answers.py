@@ -100,3 +100,20 @@ def test_unified_paths(spark):
     df = spark.sql("SELECT '1' AS _id, named_struct('price', named_struct('scalar', 5), 'v', named_struct('vector', array(1.0))) AS fields UNION ALL SELECT '2', named_struct('price', named_struct('scalar', 9), 'v', named_struct('vector', array(2.0)))")
     assert ids(aggregate(df, [{"$match": {"price": {"$gt": 6}}}])) == ["2"]
     assert [r["n"] for r in aggregate(df, [{"$project": {"n": {"$size": "$v"}}}]).collect()] == [1, 1]
+
+
+def test_lookup_and_unwind_as_a_join(spark):
+    left = spark.createDataFrame([("1", 5, 2), ("2", None, 1), ("3", 7, 3), ("4", 5, 4)], "_id string, k int, n int")
+    right = spark.createDataFrame([("a", 5, "x"), ("b", 5, "y"), ("c", None, "z")], "_id string, f int, s string")
+    lookup = {"$lookup": {"from": "r", "localField": "k", "foreignField": "f", "as": "got"}}
+    for keep in (False, True):
+        unwind = {"path": "$got", "preserveNullAndEmptyArrays": keep}
+        end = [{"$project": {"_id": 1, "s": "$got.s"}}]
+        joined = aggregate(left, [lookup, {"$unwind": unwind}, *end], {"r": right})
+        apart = aggregate(left, [lookup, {"$match": {}}, {"$unwind": unwind}, *end], {"r": right})
+        assert sorted(map(str, joined.collect())) == sorted(map(str, apart.collect()))
+        assert "collect_list" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    first = aggregate(left, [{"$sort": {"n": -1}}, lookup, {"$limit": 2}], {"r": right})
+    assert sorted(r["_id"] for r in first.collect()) == ["3", "4"]
+    first = aggregate(left, [{"$sort": {"n": 1}}, lookup, {"$unwind": {"path": "$got", "preserveNullAndEmptyArrays": True}}, {"$limit": 1}], {"r": right})
+    assert [r["_id"] for r in first.collect()] == ["2"]
