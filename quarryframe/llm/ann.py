@@ -38,7 +38,7 @@ class Settings:
 
     tables: int = 6
     width: float = 2.0
-    recall: float = 0.92
+    recall: float = 0.93
     sample_rows: int = 20_000
     sample_queries: int = 192
     max_probes: int = 8_192
