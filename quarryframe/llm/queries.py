@@ -10,7 +10,7 @@ from .minhash import op10_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_classifier
 from .substring_dedup import OP9_SQL, op9_substring_dedup
-from .suffix_dedup import op7_suffix_array_dedup
+from .suffix_dedup import OP7_SQL, op7_suffix_array_dedup
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_warc": OP2_SQL,
+    "op7_suffix_array_dedup": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
 }

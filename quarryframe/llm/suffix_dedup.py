@@ -338,3 +338,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(h) // 2 + 1)) AS pos, unnest(list_transform(range(0, len(h) // 2), lambda i: substr(h, 2 * i + 1, 100))) AS w FROM d),
+f AS (SELECT doc_id, pos, substr(w, 1, 2) AS b, len(w) = 100 AND min(doc_id) OVER (PARTITION BY w) < doc_id AS again FROM s),
+c AS (SELECT doc_id, pos, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM c)
+SELECT d.doc_id, (any_value(len(d.h)) // 2)::BIGINT AS n_bytes, (count(*) FILTER (WHERE g.gone))::BIGINT AS n_removed, (count(*) FILTER (WHERE g.begins))::BIGINT AS n_spans,
+       sha256(unhex(coalesce(string_agg(g.b, '' ORDER BY g.pos) FILTER (WHERE NOT g.gone), ''))) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id
+"""
