@@ -2,7 +2,7 @@
 
 A window of `window` words repeats only if the least hash of its shingles of `shingle` words does (winnowing), so the index
 holds these fingerprints alone: one in about seven of the words. Documents lie in chunks of bounded text by a hash of
-doc_id, fingerprints in buckets by their leading bits. Each batch adds one immutable run: per bucket a sorted array of
+doc_id and text, fingerprints in buckets by their leading bits. Each batch adds one immutable run: per bucket a sorted array of
 (fingerprint, chunk), one entry for each chunk however often the chunk holds it. While it is written it is merge-joined
 with the runs of earlier batches; fingerprints in two chunks are hits. Only windows over hits are then compared across
 chunks, by 96 bits of two hashes of all their words (the verification), and repeats inside a chunk are found there. Runs are
@@ -80,7 +80,7 @@ class FingerprintIndex:
 
     def chunked(self, docs: DataFrame, gen: int) -> DataFrame:
         d = columns(docs, doc_id="long", text="string")
-        return d.select("doc_id", "text", F.lit(gen).alias("gen"), F.pmod(F.xxhash64("doc_id"), F.lit(self.n_chunks)).alias("chunk"))
+        return d.select("doc_id", "text", F.lit(gen).alias("gen"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n_chunks)).alias("chunk"))
 
     def runs(self) -> list[tuple[int, str]]:
         """(level, folder) of the live runs; L<level>-<first batch>-<last batch>."""
@@ -245,8 +245,8 @@ def dedup_windows(docs: DataFrame, index: FingerprintIndex, history: DataFrame |
 
     A word goes if a window of it has the words of a window that starts earlier: in history (the documents of the index's
     earlier batches), in a smaller doc_id, or before it in the same document. Windows are judged on the input. Null texts
-    have no words. A null doc_id counts as the largest; rows of one doc_id are ordered by text, so that of equal rows the
-    first stays whole. Texts with fewer words than a window stay whole."""
+    have no words. A null doc_id counts as the largest; rows of one doc_id are ordered by chunk, then by text, so that of equal
+    rows the first stays whole, and one doc_id of very many rows isn't one chunk. Texts with fewer words than a window stay whole."""
     window, shingle, n_buckets = index.window, index.shingle, index.n_buckets
     texts = index.chunked(docs, 1)
     hits = reduce(DataFrame.unionAll, [index.add(texts.filter(F.col("chunk") % batches == i) if batches > 1 else docs) for i in range(batches)])
@@ -281,7 +281,7 @@ def dedup_windows(docs: DataFrame, index: FingerprintIndex, history: DataFrame |
         n = np.concatenate(parts["n"])
         gen, doc = np.repeat(np.concatenate(parts["gen"]), n), np.repeat(np.concatenate(parts["doc"]), n)
         chunk = np.repeat(t.column("chunk").to_numpy(), [len(x) for x in parts["h"]])
-        order = np.lexsort((doc, gen, g, h))
+        order = np.lexsort((chunk, doc, gen, g, h))
         h, g, chunk = h[order], g[order], chunk[order]
         lost = np.ones(len(h), bool)
         lost[groups(h, g)] = False

@@ -1,6 +1,6 @@
 """Byte strings of a given length that repeat across documents, by merged Burrows-Wheeler transforms.
 
-Whole texts lie in chunks of bounded size by a hash of doc_id. A string of `length` bytes can repeat only if the least hash of
+Whole texts lie in chunks of bounded size by a hash of doc_id and text. A string of `length` bytes can repeat only if the least hash of
 its pieces of `piece` bytes does; these are compared over all chunks first, 4 bytes each. Stretches of text under a shared
 piece go, once for each chunk, to the bucket of the piece. There, stretches that differ are cut into shards, each shard is
 transformed, and the transforms are merged by interleaving; the repeated intervals of the merge are the repeated strings, and
@@ -193,7 +193,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
     aren't smaller than each other: both stay as to each other. Texts shorter than length stay whole."""
     d = columns(docs, doc_id="long", text="string")
     n_chunks = n_buckets = max(1, -(-total_bytes(d, "text") // chunk_bytes))
-    texts = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)))
+    # by the text too, so that one doc_id of very many rows, or null, isn't one chunk
+    texts = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

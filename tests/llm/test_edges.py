@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarryframe.llm import ann, common, decontaminate, quality, warc
+from quarryframe.llm import ann, common, decontaminate, quality, substring_dedup, suffix_dedup, warc
 
 ITEM = "the quick brown fox jumps over the lazy dog and runs away from all of the hounds"
 
@@ -81,3 +81,16 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert ids == {r.doc_id for r in d.collect()} and (ids >= {None, 22, 0, 11} if name == "odd" else not ids)
         if name == "odd":
             assert d.filter(F.col("doc_id") == 3).count() == 2  # equal rows of the class's own id both stay
+
+
+def test_one_id_of_many_rows_is_split(spark, tmp_path):
+    """Rows without an id, or of one, lie in several chunks, and the outcome stays defined."""
+    texts = [" ".join(f"w{(i * k) % 89}" for i in range(40)) for k in range(2, 12)]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts] + [(None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = substring_dedup.FingerprintIndex.for_docs(df, f"file://{tmp_path}/i", 400)
+    assert index.chunked(df, 0).select("chunk").distinct().count() > 4
+    got = substring_dedup.dedup_windows(df, index).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == sorted([("7", 0)] * 10 + [("None", 40)] * 11)
+    got = suffix_dedup.dedup_substrings(df, chunk_bytes=400).collect()
+    assert sorted((str(r.doc_id), r.n_removed > 0) for r in got) == sorted([("7", False)] * 10 + [("None", True)] * 11)
