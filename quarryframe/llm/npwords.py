@@ -6,12 +6,17 @@ a slice of consecutive texts, so that memory is bounded by the slice and not by
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _malloc_trim = None
 _rng = np.random.Generator(np.random.PCG64(20240607))
 TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE, WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
@@ -45,6 +50,13 @@ class _Powers:
 _BYTES, _WORDS = _Powers(BASE), _Powers(WORD_BASE)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system. Workers live on between tasks, and several of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(30))
     x *= U(0xBF58476D1CE4E5B9)

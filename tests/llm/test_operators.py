@@ -660,7 +660,7 @@ def test_quality(spark, docs, messy, empty):
     rows, labels = quality_rows()
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
     lab = spark.createDataFrame([*labels, (1, None, 0), (labels[0][0], labels[0][1], labels[0][2])], "doc_id long, quality int, toxic int")
-    s = quality.Settings(max_labelled=400, max_unlabelled=200, per_round=50, steps=60)
+    s = quality.Settings(max_labelled=400, per_round=50, steps=60)
     model = quality.train(d, lab, s)
     out = {r.doc_id: r for r in quality.classify(d, model, s).collect()}
     known = {x[0] for x in labels}
