@@ -24,7 +24,9 @@ from .npwords import U, byte_gram_hash, inside, mix, sliding_min, slices, span_h
 from .substring_dedup import _isin, _known, groups, top
 
 LENGTH, PIECE = 50, 16
-CHUNK_BYTES = 4 << 20
+#: A chunk's bytes, and the most of them. Each chunk has something for nearly each bucket, so that what passes between them grows
+#: in number as the square of the chunks; so chunks grow before they become more than CHUNKS.
+CHUNK_BYTES, MAX_CHUNK_BYTES, CHUNKS = 4 << 20, 16 << 20, 64
 #: Stretches under one piece that make it hot, and bytes of stretches that are transformed and merged at a time.
 HOT, MERGE_BYTES = 10_000, 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -185,14 +187,19 @@ def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT, with_text: bool = True) -> DataFrame:
+def chunk_size(total: int) -> int:
+    return min(MAX_CHUNK_BYTES, max(CHUNK_BYTES, -(-total // CHUNKS)))
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, chunk_bytes: int | None = None, hot: int = HOT, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes), kept_sha256 for every row of docs.
 
     A byte goes if a string of `length` bytes over it also starts in a document with a smaller doc_id. Strings are judged
     on the input and never cross documents. Null texts are empty. A null doc_id counts as the largest. Rows of one doc_id
     aren't smaller than each other: both stay as to each other. Texts shorter than length stay whole."""
     d = columns(docs, doc_id="long", text="string")
-    n_chunks = n_buckets = max(1, -(-total_bytes(d, "text") // chunk_bytes))
+    total = total_bytes(d, "text")
+    n_chunks = n_buckets = max(1, -(-total // (chunk_bytes or chunk_size(total))))
     # by the text too, so that one doc_id of very many rows, or null, isn't one chunk
     texts = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
 
@@ -313,20 +320,28 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
     def remove(t: pa.Table, lost: pa.Table) -> pa.Table:
         _, data, offsets, t = _chunk_texts(t)
         ordinal, place, n = (np.concatenate([*(np.frombuffer(x, np.int32) for x in lost.column(k).to_pylist()), np.zeros(0, np.int32)]).astype(np.int64) for k in ("ordinal", "place", "n"))
-        start = offsets[ordinal] + place
-        mark = np.bincount(start, minlength=len(data) + 1)[: len(data) + 1] - np.bincount(start + n + length - 1, minlength=len(data) + 1)[: len(data) + 1]
-        gone = np.cumsum(mark[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(gone)])[offsets]
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        inner = offsets[:-1][offsets[:-1] < len(data)]
-        begins[inner] = gone[inner]
-        spans = np.concatenate([[0], np.cumsum(begins)])[offsets]
-        body = data[~gone].tobytes()
-        at = (offsets - total).tolist()
-        kept = [body[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]
+        order = np.argsort(ordinal, kind="stable")
+        ordinal, place, n = ordinal[order], place[order], n[order]
+        removed, runs, kept = [], [], []
+        for i, j in slices(offsets, CHUNK_BYTES):
+            o, part = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+            p, q = np.searchsorted(ordinal, [i, j])
+            start = o[ordinal[p:q] - i] + place[p:q]
+            mark = np.bincount(start, minlength=len(part) + 1)[: len(part) + 1] - np.bincount(start + n[p:q] + length - 1, minlength=len(part) + 1)[: len(part) + 1]
+            gone = np.cumsum(mark[:-1]) > 0
+            total = np.concatenate([[0], np.cumsum(gone)])[o]
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            inner = o[:-1][o[:-1] < len(part)]
+            begins[inner] = gone[inner]
+            body = part[~gone].tobytes()
+            at = (o - total).tolist()
+            kept += [body[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+            removed.append(np.diff(total))
+            runs.append(np.diff(np.concatenate([[0], np.cumsum(begins)])[o]))
+        none = np.zeros(0, np.int64)
         return pa.table(
-            [t.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(kept if with_text else [None] * len(kept), pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+            [t.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.concatenate([none, *removed]), pa.int64()), pa.array(np.concatenate([none, *runs]), pa.int64()), pa.array(kept if with_text else [None] * len(kept), pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
             schema=RESULT_ARROW,
         )
 

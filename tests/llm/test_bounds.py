@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarryframe.llm import minhash
+from quarryframe.llm import minhash, suffix_dedup
 
 
 def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
@@ -23,3 +23,24 @@ def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
     kept = sorted(minhash.keep_one(df).collect())
     monkeypatch.setattr(minhash, "BROADCAST_BYTES", 0)
     assert sorted(minhash.near_duplicates(df).collect()) == want and sorted(minhash.keep_one(df).collect()) == kept
+
+
+def test_chunks_and_buckets_meet_seldom():
+    """Rows between the chunks and the buckets of op7 are as many as their product; 10 GB of text made six million of them."""
+    chunks = [-(-n // suffix_dedup.chunk_size(n)) for n in (1, 10_000_000, 860_000_000, 10_300_000_000)]
+    assert chunks[:2] == [1, 3] and chunks[2] <= 64 and chunks[3] ** 2 < 500_000
+
+
+def test_chunks_of_several_slices(spark, monkeypatch):
+    """A chunk's texts are cut out slice by slice, with the same result."""
+    rng = np.random.default_rng(1)
+    part = "".join(rng.choice(list("abcdefgh "), 200))
+    rows = [(i, "".join(rng.choice(list("abcdefgh "), int(rng.integers(0, 300)))) + part[: int(rng.integers(40, 200))]) for i in range(40)] + [(50, None), (51, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(suffix_dedup.dedup_substrings(df, chunk_bytes=1 << 20).collect())
+    many = sorted(suffix_dedup.dedup_substrings(df, chunk_bytes=500).collect())
+    assert one == many and sum(r.n_removed for r in one) > 1000 and len(one) == 42
+    large = df.unionAll(spark.range(100, 103).selectExpr("id AS doc_id", "repeat(concat(sha2(cast(id AS string), 256), char(id)), 40000) AS text"))
+    assert suffix_dedup.chunk_size(7_800_000) < 7_800_000  # three slices, where they are one chunk
+    one = sorted(suffix_dedup.dedup_substrings(large, chunk_bytes=64 << 20, with_text=False).collect())
+    assert one == sorted(suffix_dedup.dedup_substrings(large, chunk_bytes=500_000, with_text=False).collect())
