@@ -25,6 +25,28 @@ def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
     assert sorted(minhash.near_duplicates(df).collect()) == want and sorted(minhash.keep_one(df).collect()) == kept
 
 
+def test_common_small_sets_are_counted_in_place(spark, monkeypatch):
+    """Small texts that very many others hold leave no pairs behind, and have the links and classes that pairs gave. Rows that
+    are there twice count once."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(2, 9)))) for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choice(words, rng.integers(30, 400)))) for i in range(60)]
+    rows += [rows[3], rows[70], rows[70]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = []
+    whole = minhash.containers
+    monkeypatch.setattr(minhash, "containers", lambda *a: pairs.append(whole(*a)) or pairs[-1])
+    got = sorted(minhash.near_duplicates(df).collect())
+    far, tiny = pairs[-1]
+    assert far.filter("x < 60").count() == 0 and tiny.agg(F.sum("n")).first()[0] > 1000
+    monkeypatch.setattr(minhash, "TABLE", 64)  # many rounds
+    assert sorted(minhash.near_duplicates(df).collect()) == got
+    assert sorted(minhash.near_duplicates(df, minhash.Settings(tiny=0)).collect()) == got
+    far, tiny = pairs[-1]
+    assert far.filter("x < 60").count() > 500 and tiny.count() == 0
+
+
 def test_chunks_and_buckets_meet_seldom():
     """Rows between the chunks and the buckets of op7 are as many as their product; 10 GB of text made six million of them."""
     chunks = [-(-n // suffix_dedup.chunk_size(n)) for n in (1, 10_000_000, 860_000_000, 10_300_000_000)]
