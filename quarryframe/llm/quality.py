@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, stored, table
-from .npwords import LETTER, LOWER, U, slices, span_hash, text_arrays, words
+from .npwords import LETTER, LOWER, U, slices, span_hash, text_arrays, trim, words
 
 BITS = 16
 SHAPES = 9
 N_TEXT = (1 << BITS) + SHAPES
 META_BITS = 10
 N_META = 1 << META_BITS
+#: (column, value) pairs that are worked on at a time.
+PAIRS = 1 << 18
 _KINDS = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(48, 58), b"*#$%&", b"!", b"|/\\<>{}[]=_~^", b" \t\n\r", b".,;:")]
 
 
@@ -51,18 +53,35 @@ class Sparse:
     col: np.ndarray
     val: np.ndarray
 
-    @property
-    def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+    def pieces(self) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Rows, their pairs and how many each has, some PAIRS pairs at a time: what is computed of pairs takes several times
+        the memory that they take."""
+        for i, j in slices(self.at, PAIRS):
+            yield slice(i, j), slice(self.at[i], self.at[j]), np.diff(self.at[i : j + 1])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, self.val * w[self.col], len(self.at) - 1)
+        out = np.empty(len(self.at) - 1)
+        for rows, own, n in self.pieces():
+            out[rows] = np.bincount(np.repeat(np.arange(len(n)), n), self.val[own] * w[self.col[own]], len(n))
+        return out
+
+    def sums(self, g: np.ndarray, n_columns: int) -> np.ndarray:
+        """For each column its values, each times its row's g, added up."""
+        out = np.zeros(n_columns)
+        for rows, own, n in self.pieces():
+            out += np.bincount(self.col[own], self.val[own] * np.repeat(g[rows], n), n_columns)
+        return out
 
     def take(self, which: np.ndarray) -> Sparse:
-        n = np.diff(self.at)[which]
-        at = np.concatenate([[0], np.cumsum(n)])
-        pick = np.repeat(self.at[which] - at[:-1], n) + np.arange(at[-1])
-        return Sparse(at, self.col[pick], self.val[pick])
+        at = np.concatenate([[0], np.cumsum(np.diff(self.at)[which])])
+        out = Sparse(at, np.empty(at[-1], self.col.dtype), np.empty(at[-1], self.val.dtype))
+        for rows, own, n in out.pieces():
+            pick = np.repeat(self.at[which[rows]] - at[rows], n) + np.arange(own.start, own.stop)
+            out.col[own], out.val[own] = self.col[pick], self.val[pick]
+        return out
+
+    def scaled(self, ratio: np.ndarray) -> Sparse:
+        return Sparse(self.at, self.col, self.val * ratio.astype(np.float32)[self.col])
 
 
 def join_rows(parts: list[Sparse]) -> Sparse:
@@ -76,8 +95,8 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> Sparse:
     n, size = len(offsets) - 1, np.diff(offsets)
     shapes = np.zeros((n, SHAPES))
     n_words = np.zeros(n)
-    kinds = [np.concatenate([[0], np.cumsum(k[data], dtype=np.int64)]) for k in _KINDS]
-    for j, c in enumerate(kinds):
+    for j, k in enumerate(_KINDS):
+        c = np.concatenate([[0], np.cumsum(k[data], dtype=np.int64)])
         shapes[:, j] = (c[offsets[1:]] - c[offsets[:-1]]) / np.maximum(size, 1)
     if len(data):
         starts, ends, _ = words(data, offsets, LETTER)
@@ -125,12 +144,11 @@ def fit(x: Sparse, y: np.ndarray, n: int, steps: int, start: np.ndarray | None =
     """Weights and, last, the intercept, by Adam over all rows; classes weigh alike."""
     w = np.zeros(n + 1) if start is None else start.copy()
     m, v = np.zeros(n + 1), np.zeros(n + 1)
-    rows, col, val = x.rows.astype(np.int32), x.col, x.val
     share = np.clip(np.array([np.mean(y == 0), np.mean(y == 1)]), 0.02, 1)
     weight = (0.5 / share)[y.astype(int)] / max(len(y), 1)
     for t in range(1, steps + 1):
-        g_row = weight * (logistic(np.bincount(rows, val * w[col], len(y)) + w[-1]) - y)
-        g = np.append(np.bincount(col, val * g_row[rows], n), g_row.sum()) + l2 * w
+        g_row = weight * (logistic(x.dot(w) + w[-1]) - y)
+        g = np.append(x.sums(g_row, n), g_row.sum()) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
     return w
@@ -151,8 +169,11 @@ def log_ratios(x: Sparse, y: np.ndarray, n: int, free: int, sure: float = 2.0) -
     """For each column how much commoner it is in rows of class 1, as a logarithm; 0 if that isn't `sure` standard errors
     from chance. The last `free` columns, which all rows have, keep 1. A regression on columns so scaled hears the few words
     that tell, and not the many that are rare (Wang and Manning 2012)."""
-    good = y[x.rows] == 1
-    a, b = np.bincount(x.col[good], minlength=n) + 1.0, np.bincount(x.col[~good], minlength=n) + 1.0
+    a, b = np.ones(n), np.ones(n)
+    for rows, own, k in x.pieces():
+        good = np.repeat(y[rows] == 1, k)
+        a += np.bincount(x.col[own][good], minlength=n)
+        b += np.bincount(x.col[own][~good], minlength=n)
     r = np.log(a / (np.sum(y == 1) + 2)) - np.log(b / (np.sum(y == 0) + 2))
     r[np.abs(r) < sure * np.sqrt(1 / a + 1 / b)] = 0
     r[n - free :] = 1
@@ -167,7 +188,7 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool_text: Sparse, pool_
         held = np.zeros(len(y), bool)
     learn, calibrate = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
     ratio = log_ratios(text.take(learn), y[learn], N_TEXT, SHAPES)
-    text, pool_text = (Sparse(x.at, x.col, x.val * ratio[x.col].astype(np.float32)) for x in (text, pool_text))
+    text, pool_text = text.scaled(ratio), pool_text.scaled(ratio)
     views = {"text": (text, pool_text, N_TEXT), "meta": (meta, pool_meta, N_META)}
     extra = {k: (np.zeros(0, int), np.zeros(0)) for k in views}
     weights: dict[str, np.ndarray | None] = dict.fromkeys(views)
@@ -217,6 +238,7 @@ def _views(text: pa.Array, source: pa.Array, lang: pa.Array) -> Iterator[tuple[i
     source, lang = source.to_pylist(), lang.to_pylist()
     for i, j in slices(offsets, 1 << 20):
         yield i, j, text_view(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), meta_view(source[i:j], lang[i:j], n_chars[i:j])
+        trim()
 
 
 def _dump(model: dict[str, np.ndarray]) -> bytes:
@@ -275,15 +297,19 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     def learn(t: pa.Table, s: Settings) -> pa.Table:
         t = t.sort_by("doc_id")
         y = t.column("y").to_numpy()
-        cols, vals = t.column("col").to_pylist(), t.column("val").to_pylist()
-        meta = np.frombuffer(b"".join(t.column("meta").to_pylist()), np.int32)
-        text = Sparse(np.concatenate([[0], np.cumsum([len(c) // 4 for c in cols])]), np.frombuffer(b"".join(cols), np.int32), np.frombuffer(b"".join(vals), np.float32))
-        del cols, vals, t
+        (cols, at), (vals, _), (meta, _) = (text_arrays(t.column(c)) for c in ("col", "val", "meta"))
+        text, meta = Sparse(at // 4, cols.view(np.int32), vals.view(np.float32)), meta.view(np.int32)
         meta = Sparse(np.arange(len(y) + 1) * 5, meta, np.ones(len(meta), np.float32))
+        del cols, vals, t
         known, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
         if not len(known):
             return pa.table([pa.array([], pa.binary())], names=["model"])
-        model = co_train(text.take(known), meta.take(known), y[known], text.take(pool), meta.take(pool), s, n_good / n_known)
+        parts = [x.take(rows) for rows in (known, pool) for x in (text, meta)]
+        del text, meta
+        trim()
+        model = co_train(parts[0], parts[1], y[known], parts[2], parts[3], s, n_good / n_known)
+        del parts
+        trim()
         return pa.table([pa.array([_dump(model)], pa.binary())], names=["model"])
 
     def features(ids: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Bounds that only large tables reach."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarryframe.llm import minhash, suffix_dedup
+from quarryframe.llm import minhash, npwords, quality, suffix_dedup
 
 
 def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
@@ -66,3 +68,33 @@ def test_chunks_of_several_slices(spark, monkeypatch):
     assert suffix_dedup.chunk_size(7_800_000) < 7_800_000  # three slices, where they are one chunk
     one = sorted(suffix_dedup.dedup_substrings(large, chunk_bytes=64 << 20, with_text=False).collect())
     assert one == sorted(suffix_dedup.dedup_substrings(large, chunk_bytes=500_000, with_text=False).collect())
+
+
+def test_fitting_takes_little_more_than_its_rows():
+    """The classifier's fit works on a part of its pairs at a time; all at once took 20 bytes a pair besides them. The parts give
+    what the whole gives."""
+    rng = np.random.default_rng(7)
+    n = rng.integers(0, 400, 10_000)
+    at = np.append(0, np.cumsum(n))
+    x = quality.Sparse(at, rng.integers(0, 5_000, at[-1]).astype(np.int32), rng.random(at[-1], np.float32))
+    y, w = (rng.random(len(n)) < 0.5).astype(float), rng.normal(size=5_000)
+    tracemalloc.start()
+    quality.fit(x, y, 5_000, 2)
+    quality.log_ratios(x, y, 5_000, 9)
+    assert tracemalloc.get_traced_memory()[1] < 8 * at[-1]
+    tracemalloc.stop()
+    rows = np.repeat(np.arange(len(n)), n)
+    assert np.allclose(x.dot(w), np.bincount(rows, x.val * w[x.col], len(n)), rtol=1e-12)
+    assert np.allclose(x.sums(y, 5_000), np.bincount(x.col, x.val * y[rows], 5_000), rtol=1e-12)
+    some = rng.permutation(len(n))[:7_000]
+    own = np.concatenate([np.arange(at[i], at[i + 1]) for i in some])
+    part = x.take(some)
+    assert (np.diff(part.at) == n[some]).all() and (part.col == x.col[own]).all() and (part.val == x.val[own]).all()
+
+
+def test_tables_of_powers_follow_the_longest_text():
+    """They stay in memory between tasks; a slice a little longer than those before doubled them."""
+    p = npwords._Powers(npwords.BASE)
+    p.get(1 << 20)
+    up, down = p.get((1 << 20) + 5)
+    assert len(p.up) < 1.5 * (1 << 20) and (up * down == 1).all() and up[3] == npwords.BASE**3
