@@ -3,9 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarryframe.llm import minhash, npwords, quality, suffix_dedup
+from quarryframe.llm.common import stored
 
 
 def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
@@ -49,6 +51,50 @@ def test_common_small_sets_are_counted_in_place(spark, monkeypatch):
     assert far.filter("x < 60").count() > 500 and tiny.count() == 0
 
 
+def _shuffled(spark, do):
+    """What do() returns, and the bytes that it shuffled."""
+
+    def stages():
+        none, jvm = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        every = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, jvm.new_array(jvm.jvm.double, 0), none)
+        return {(x := every.apply(i)).stageId(): x.shuffleWriteBytes() for i in range(every.size())}
+
+    before = stages()
+    out = do()
+    return out, sum(v for k, v in stages().items() if k not in before)
+
+
+def test_chance_hits_are_not_shuffled(spark, monkeypatch):
+    """Texts half of which is made of phrases that some thirty share: none holds another, as is known from how many of its shingles
+    larger ones hold, whatever is known of how rare each is. The links that there are stay."""
+    rng = np.random.default_rng(9)
+    phrases = [f"a{i} b{i} c{i}" for i in range(3000)]
+
+    def text(i, n):
+        return " ".join(f"{p} u{i}v{k}" for k, p in enumerate(rng.choice(phrases, n, replace=False)))
+
+    rows = [(i, text(i, int(rng.integers(20, 110)))) for i in range(1500)]
+    rows += [(2000 + i, " ".join(rows[i][1].split()[: 4 * 15])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df = stored(df, "docs")  # a shuffle isn't read twice where it is made of what is cached
+
+    def found():
+        return sorted(tuple(r) for r in minhash.near_duplicates(df).collect())
+
+    monkeypatch.setattr(minhash, "BUCKET", 8_000)  # sets lie in many buckets
+    monkeypatch.setattr(minhash, "SAMPLE", 10)  # too few sets to tell the rare shingles by
+    got, shuffled = _shuffled(spark, lambda: [tuple(r) for r in minhash.near_duplicates(df).collect()])
+    assert sum(r[3] for r in got) == 80 and all(r[1] == r[0] - 2000 for r in got if r[0] >= 2000)
+    assert shuffled < 4_880_000, shuffled  # 4.6 MB; 5.1 MB where hits of sets in no other were shuffled too
+
+
+def test_numbers_travel_in_planes():
+    for x in ([], [0], [3, 255, 7], [1, 70_000, 5], [5, -7, 1 << 40], [1 << 33, 2]):
+        x = np.array(x, np.int64)
+        assert minhash.wide(pa.chunked_array([[minhash.narrow(x)]]))[0].tolist() == x.tolist()
+
+
 def test_chunks_and_buckets_meet_seldom():
     """Rows between the chunks and the buckets of op7 are as many as their product; 10 GB of text made six million of them."""
     chunks = [-(-n // suffix_dedup.chunk_size(n)) for n in (1, 10_000_000, 860_000_000, 10_300_000_000)]
