@@ -7,8 +7,11 @@ import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +25,7 @@ STOPWORDS = (
     "should so some such t than that the their theirs them themselves then there these they this those through to too under until up used very was we were "
     "what when where which while who whom whose why will with would you your yours yourself yourselves"
 ).split()
+_STOP = frozenset(STOPWORDS)
 #: of the plain analyzer of unified collections
 PLAIN_STOPWORDS = "a an and are as at be been being but by could did do does for from had has have if in is it its may might must of on or should so than that the then these this those to was were will with would".split()
 LETTERS, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,9 +62,39 @@ def _unstable() -> str:
     return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{z:X}}}" if z > a else "") for a, z in ranges) + "]"
 
 
-@F.pandas_udf(T.StringType())
-def stem_udf(terms: pd.Series) -> pd.Series:
-    return terms.map(lambda t: None if t is None else stem(t))
+@lru_cache(maxsize=1 << 16)
+def _english(token: str, case_sensitive: bool) -> str | None:
+    """The stem of a token as a text has it; null for one that doesn't count. Workers live on between batches, whose tokens are
+    mostly the same."""
+    t = unicodedata.normalize("NFKC", token)
+    t = t if case_sensitive else t.lower()
+    return None if t.lower() in _STOP or len(t.encode()) < 2 else stem(t)
+
+
+def _stems(lists: pa.Array, case_sensitive: bool) -> pa.Array:
+    found = lists.flatten().dictionary_encode()
+    stems = pa.array([None if t is None else _english(t, case_sensitive) for t in found.dictionary.to_pylist()], lists.type.value_type)
+    place = found.indices.to_numpy(zero_copy_only=False)
+    keep = ~stems.is_null().to_numpy(zero_copy_only=False)[place]
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy()))
+    offsets = np.append(0, np.cumsum(keep))[ends]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), stems.take(pa.array(place[keep])), mask=lists.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stemmed(lists: pa.Array) -> pa.Array:
+    return _stems(lists, False)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stemmed_case(lists: pa.Array) -> pa.Array:
+    return _stems(lists, True)
+
+
+def stemmed(text: Column, a: Analyzer = Analyzer()) -> Column:
+    """The stems of a text in order, as query_terms() finds them. The text is cut in the JVM; the rest is done in one visit to
+    Python, once for each distinct token of a batch."""
+    return (_stemmed_case if a.case_sensitive else _stemmed)(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1)))
 
 
 def nfkc(text: Column, found: Column) -> Column:
@@ -114,10 +148,3 @@ def query_terms(text: str, a: Analyzer = Analyzer()) -> list[str]:
         return [t for t in re.split("[ \t\n\r]+", text) if t]
     found = re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LETTERS)))
     return found if a.kind == "simple" else [t for t in found if t not in PLAIN_STOPWORDS]
-
-
-def stemmed(df: DataFrame, term: str) -> DataFrame:
-    """df with its term column stemmed: distinct terms are stemmed once and joined back."""
-    vocabulary = df.select(F.col(term).alias("__t")).distinct().withColumn("__s", stem_udf("__t"))
-    return df.join(vocabulary, F.col(term) == F.col("__t")).withColumn(term, F.col("__s")).drop("__t", "__s")
-

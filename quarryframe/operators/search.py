@@ -57,17 +57,23 @@ class TextIndex:
         rows = self.tokens.select("doc", F.size(t).cast("long").alias("dl"), F.explode(found).alias("f"))
         return rows.select("f.term", "doc", "f.tf", "dl").filter(F.col("tf") > 0)
 
-    def summary(self, terms: list[str]) -> DataFrame:
-        """One row: n_docs, avgdl, and the terms' document frequencies as `dfs`, an array in their order."""
+    def counted(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(term, doc, tf, dl) of some terms, each once and sorted; and one row: n_docs, avgdl, and the terms' document frequencies
+        as `dfs`, an array in their order. Of token arrays both come from the same numbers, a short row for each document,
+        which are shuffled so that the texts are cut once."""
         if self.tokens is None:
             counts = self.postings.filter(F.col("term").isin(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
             one = counts.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("m"))
             dfs = F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0).cast("long")) for t in terms])
-            return self.stats.crossJoin(F.broadcast(one.select(dfs.alias("dfs"))))  # one row by one row
+            return self.of_terms(terms), self.stats.crossJoin(F.broadcast(one.select(dfs.alias("dfs"))))  # one row by one row
         t = F.col("toks")
-        counts = [F.count_if(F.array_contains(t, w)).alias(f"d{i}") for i, w in enumerate(terms)]
-        one = self.tokens.agg(F.count_if(F.size(t) > 0).alias("n_docs"), F.avg(F.nullif(F.size(t), F.lit(0))).alias("avgdl"), *counts)
-        return one.select("n_docs", "avgdl", F.array(*[f"d{i}" for i in range(len(terms))]).alias("dfs"))
+        names = [f"n{i}" for i in range(len(terms))]
+        tfs = [F.size(F.filter(t, _is(w))).cast("long").alias(n) for w, n in zip(terms, names, strict=True)]
+        each = self.tokens.select("doc", F.size(t).cast("long").alias("dl"), *tfs).repartition("doc")
+        one = each.agg(F.count_if(F.col("dl") > 0).alias("n_docs"), F.avg(F.nullif("dl", F.lit(0))).alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(n) for n in names])
+        # everything is asked for in the generator: a filter before it would go down to the texts, and these be cut twice
+        rows = each.select("doc", "dl", F.explode(F.array(*[F.struct(F.lit(w).alias("term"), F.col(n).alias("tf")) for w, n in zip(terms, names, strict=True)])).alias("f"))
+        return rows.select("f.term", "doc", "f.tf", "dl").filter(F.col("tf") > 0), one.select("n_docs", "avgdl", F.array(*names).alias("dfs"))
 
     def vocabulary(self) -> DataFrame:
         """Each term of the index once."""
@@ -91,23 +97,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 1 << 20 < size < cores * (4 << 20) else df
 
 
+def token_arrays(df: DataFrame, fields: list[str], analyzer: Analyzer = Analyzer(), key: str = "_id") -> DataFrame:
+    """(doc, toks): the terms of each document in order, stemmed where the analyzer stems, row by row: no token is shuffled."""
+    text = text_of(df, fields)
+    toks = stemmed(text, analyzer) if analyzer.kind == "english" and analyzer.stemming else tokens(text, analyzer, normalise=True)
+    return df.select(F.col(key).alias("doc"), toks.alias("toks"))
+
+
 def token_frame(df: DataFrame, fields: list[str], analyzer: Analyzer = Analyzer(), key: str = "_id") -> DataFrame:
     """(doc, dl, pos, term): positions count kept tokens and go on over fields, dl is their number."""
-    toks = tokens(text_of(df, fields), analyzer, normalise=True)
-    t = df.select(F.col(key).alias("doc"), toks.alias("toks"))
-    t = t.select("doc", F.size("toks").cast("long").alias("dl"), F.posexplode("toks").alias("pos", "term"))
-    return stemmed(t, "term") if analyzer.kind == "english" and analyzer.stemming else t
+    t = token_arrays(df, fields, analyzer, key)
+    return t.select("doc", F.size("toks").cast("long").alias("dl"), F.posexplode("toks").alias("pos", "term"))
 
 
 def build_index(df: DataFrame, fields: list[str], analyzer: Analyzer = Analyzer(), key: str = "_id") -> TextIndex:
     """Documents without terms don't count; each key is there once."""
     df = spread(df.select(key, *fields))
     grouped = token_frame(df, fields, analyzer, key).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    toks = df.select(F.col(key).alias("doc"), tokens(text_of(df, fields), analyzer, normalise=True).alias("toks"))
+    toks = token_arrays(df, fields, analyzer, key)
     size = F.size("toks")
     stats = toks.filter(size > 0).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(size).alias("avgdl"))
-    # stems are found for distinct terms only, so the token arrays have none
-    return TextIndex(grouped, stats, analyzer, None if analyzer.kind == "english" and analyzer.stemming else toks)
+    return TextIndex(grouped, stats, analyzer, toks)
 
 
 def idf_v1(n: Column, df: Column) -> Column:
@@ -137,9 +147,9 @@ def score_terms(index: TextIndex, terms: list[str], idf: Idf) -> DataFrame:
     names = sorted(wanted)
     if not names:
         return scored(index.postings, index.stats, [], idf)
-    one = index.summary(names)
+    rows, one = index.counted(names)
     place = F.create_map(*[x for i, t in enumerate(names) for x in (F.lit(t), F.struct(F.lit(i).alias("i"), F.lit(float(wanted[t])).alias("w")))])
-    rows = index.of_terms(names).crossJoin(F.broadcast(one)).withColumn("__q", F.try_element_at(place, F.col("term")))
+    rows = rows.crossJoin(F.broadcast(one)).withColumn("__q", F.try_element_at(place, F.col("term")))
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     df = F.get("dfs", F.col("__q.i")).cast("double")
     part = idf(F.col("n_docs").cast("double"), df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
@@ -227,10 +237,13 @@ def search(index: TextIndex, request: SearchRequest, documents: DataFrame | None
         elif request.fuzzy is not None:
             candidates = fuzzy_candidates(index, terms, request.fuzzy)
         else:
-            candidates = term_candidates(index, terms)
+            candidates = None  # those that have a score
         if request.regex:
-            candidates = candidates.join(regex_candidates(index, request.regex), "doc", "left_semi")
-        found = candidates.join(score_terms(index, terms, idf_v1), "doc", "left").select("doc", F.coalesce("score", F.lit(0.0)).alias("score"))
+            matching = regex_candidates(index, request.regex)
+            candidates = (term_candidates(index, terms) if candidates is None else candidates).join(matching, "doc", "left_semi")
+        found = score_terms(index, terms, idf_v1)
+        if candidates is not None:
+            found = candidates.join(found, "doc", "left").select("doc", F.coalesce("score", F.lit(0.0)).alias("score"))
     page = found.orderBy(F.desc("score"), F.asc("doc")).offset(request.offset).limit(request.limit)
     if documents is None:
         return page

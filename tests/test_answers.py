@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryframe.catalog import CollectionCatalog
-from quarryframe.functions.analyzer import Analyzer
+from quarryframe.functions.analyzer import Analyzer, query_terms
 from quarryframe.operators import advisor, vector, writes
 from quarryframe.operators.search import SearchRequest, TextIndex, build_index, idf_v1, phrase_candidates, regex_candidates, score_terms, scored, search
 from quarryframe.plans.pipeline import aggregate
@@ -73,6 +73,21 @@ def test_token_arrays_and_postings_agree(spark, tmp_path):
         assert sorted(map(tuple, regex_candidates(lazy, pattern).collect())) == sorted(map(tuple, regex_candidates(kept, pattern).collect()))
 
 
+def test_stems_are_not_shuffled(spark, tmp_path):
+    df = spark.createDataFrame([("1", "heating heated tion"), ("2", "Skies and heats, heats"), ("3", ""), ("4", None), ("5", "sky dying"), ("6", "the"), ("7", "\u0130stanbul")], "_id string, t string")
+    lazy = build_index(df, ["t"])
+    plan = search(lazy, SearchRequest("tion heating"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "Join Inner" not in plan and "Join LeftOuter" not in plan
+    assert [(r["doc"], r["toks"]) for r in lazy.tokens.orderBy("doc").collect()] == [("1", ["heat", "heat", "tion"]), ("2", ["sky", "heat", "heat"]), ("3", []), ("4", None), ("5", ["sky", "die"]), ("6", []), ("7", query_terms("\u0130stanbul"))]
+    lazy.save(str(tmp_path / "i"))
+    kept = TextIndex.load(spark, str(tmp_path / "i"))
+    for text in ("tion heating", "sky", "nothing", ""):
+        for more in ({}, {"regex": "^h"}, {"fuzzy": 1}, {"phrase": True}):
+            a, b = ([(r["doc"], round(r["score"], 9)) for r in search(i, SearchRequest(text, **more)).collect()] for i in (lazy, kept))
+            assert a == b
+    assert sorted(ids(search(lazy, SearchRequest("heat")), "doc")) == ["1", "2"]
+
+
 def test_large_k_leaves_the_session_alone(spark, monkeypatch):
     df = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(20)], "_id string, v array<double>")
     before = spark.conf.get("spark.sql.execution.topKSortFallbackThreshold")
