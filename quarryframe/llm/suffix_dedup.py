@@ -29,6 +29,8 @@ LENGTH, PIECE = 50, 16
 CHUNK_BYTES, MAX_CHUNK_BYTES, CHUNKS = 4 << 20, 16 << 20, 64
 #: Stretches under one piece that make it hot, and bytes of stretches that are transformed and merged at a time.
 HOT, MERGE_BYTES = 10_000, 1 << 20
+#: Bytes that are hashed at a time: eight times as many, and a copy or two, stay in a core's cache.
+SLICE = 1 << 17
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 MASK = U(0xFFFFFFFF)
@@ -87,7 +89,7 @@ def may_share(key: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.nda
     keep = np.zeros(len(key), bool)
     sides, alone = [], np.ones(len(key), bool)
     bounds = np.append(0, np.cumsum(size))
-    for i, j in slices(bounds, 1 << 20):
+    for i, j in slices(bounds, SLICE):
         n = size[i:j]
         ends = np.cumsum(n)
         part = data[np.repeat(start[i:j] - (ends - n), n) + np.arange(ends[-1])]
@@ -120,15 +122,49 @@ def may_share(key: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.nda
     return keep | np.repeat(~np.logical_and.reduceat(alone, at), np.diff(at, append=len(key)))
 
 
-def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndarray, length: int, piece: int, shards: int = 2, merge_bytes: int = MERGE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def taken(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of data one after the other."""
+    ends = np.cumsum(size)
+    return data[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def shared_runs(key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different stretches (their piece and document), the runs of strings whose hash occurs under the piece in two
+    documents, as (stretch, first string, number of strings). No other string is repeated; whether these are is left to a merge."""
+    bounds = np.append(0, np.cumsum(size))
+    n = size - length + 1
+    hashes = [np.zeros(0, U)]
+    for i, j in slices(bounds, SLICE):
+        part, o = taken(data, start[i:j], size[i:j]), bounds[i : j + 1] - bounds[i]
+        hashes.append(byte_gram_hash(part, length)[inside(o, length, len(part))])
+    owner = np.repeat(np.arange(len(key)), n)
+    h = mix(np.concatenate(hashes) ^ mix(key[owner].astype(U)))
+    order = np.argsort(h)
+    at = groups(h[order])
+    held = doc[owner[order]]
+    two = np.minimum.reduceat(held, at) != np.maximum.reduceat(held, at)
+    use = np.zeros(len(h), bool)
+    use[order] = np.repeat(two, np.diff(at, append=len(h)))
+    p = np.flatnonzero(use)
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1] + 1) | (owner[p[1:]] != owner[p[:-1]])
+    f = np.flatnonzero(new)
+    who = owner[p[f]]
+    return who, p[f] - (np.cumsum(n) - n)[who], np.diff(f, append=len(p))
+
+
+def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndarray, length: int, piece: int, shards: int = 2, merge_bytes: int = MERGE_BYTES, cut_down: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of stretches (their piece, document, number of bytes; data holds them one after the other): runs of strings that are in
-    a smaller document too, as (stretch, first string, number of strings)."""
+    a smaller document too, as (stretch, first string, number of strings).
+
+    Stretches that are equal as a whole are settled first. Of the others only the runs of strings that may be shared are left,
+    and these in the same way (now they are cut_down): many are equal, though their stretches aren't. What differs then is merged."""
     none = np.zeros(0, np.int64)
     if not len(key):
         return none, none, none
     start = np.cumsum(size) - size
     bounds = np.append(start, start[-1] + size[-1])
-    same = np.concatenate([span_hash(data[bounds[i] : bounds[j]], start[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]) for i, j in slices(bounds, 1 << 20)])
+    same = np.concatenate([span_hash(data[bounds[i] : bounds[j]], start[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]) for i, j in slices(bounds, SLICE)])
     order = np.lexsort((doc, size, same, key))
     first = groups(key[order], same[order], size[order])
     group = np.empty(len(key), np.int64)
@@ -141,10 +177,17 @@ def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
     at = groups(g_key)
     many = np.diff(at, append=len(g_key))
     busy = np.flatnonzero(np.repeat(many > 1, many))
-    if len(busy):
+    if len(busy) and not cut_down:
         busy = busy[may_share(g_key[busy], start[head[busy]], size[head[busy]], data, length, piece)]
     out = [(np.flatnonzero(later), np.zeros(int(later.sum()), np.int64), size[later] - length + 1)]
-    if len(busy):
+    found = []
+    if len(busy) and not cut_down:
+        h = head[busy]
+        who, run_at, run_n = shared_runs(g_key[busy], least[busy], start[h], size[h], data, length)
+        who, run_size = busy[who], run_n + length - 1
+        part, at, n = lost_strings(g_key[who], least[who], run_size, taken(data, start[head[who]] + run_at, run_size), length, piece, shards, merge_bytes, True)
+        found.append((who[part], run_at[part] + at, n))
+    elif len(busy):
         bytes_to = np.cumsum(size[head[busy]])
         edge = groups(g_key[busy])  # a piece's stretches stay together
         cut, base = [0], 0
@@ -154,15 +197,11 @@ def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
                 base = bytes_to[e - 1]
         if cut[-1] != len(busy):
             cut.append(len(busy))
-        # least-document members of each different stretch, to which its result applies
-        member = np.flatnonzero(~later)
-        member = member[np.argsort(group[member], kind="stable")]
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             g = busy[lo:hi]
             n = size[head[g]]
             ends = np.cumsum(n)
-            pick = np.repeat(start[head[g]] - (ends - n), n) + np.arange(ends[-1])
-            text, places, block, _ = merge_shards(data[pick], ends, length, shards)
+            text, places, block, _ = merge_shards(taken(data, start[head[g]], n), ends, length, shards)
             # of each place of the text with ends: its stretch, and whether a whole string starts there
             owner = np.repeat(np.arange(len(g)), n + 1)
             offset = np.arange(len(text)) - np.repeat(ends - n + np.arange(len(g)), n + 1)
@@ -179,11 +218,15 @@ def lost_strings(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.nd
             new = np.ones(len(p), bool)
             new[1:] = (p[1:] != p[:-1] + 1) | (owner[p[1:]] != owner[p[:-1]])
             f = np.flatnonzero(new)
-            run_g, run_at, run_n = g[owner[p[f]]], offset[p[f]], np.diff(f, append=len(p))
-            a, z = np.searchsorted(group[member], run_g), np.searchsorted(group[member], run_g, "right")
-            times = z - a
-            who = member[np.repeat(a - np.cumsum(times) + times, times) + np.arange(times.sum())]
-            out.append((who, np.repeat(run_at, times), np.repeat(run_n, times)))
+            found.append((g[owner[p[f]]], offset[p[f]], np.diff(f, append=len(p))))
+    # least-document members of each different stretch, to which its result applies
+    member = np.flatnonzero(~later)
+    member = member[np.argsort(group[member], kind="stable")]
+    for run_g, run_at, run_n in found:
+        a, z = np.searchsorted(group[member], run_g), np.searchsorted(group[member], run_g, "right")
+        times = z - a
+        who = member[np.repeat(a - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        out.append((who, np.repeat(run_at, times), np.repeat(run_n, times)))
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
@@ -208,7 +251,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
             data, offsets = text_arrays(b.column("text"))
             chunk = b.column("chunk").to_numpy()
             found = []
-            for i, j in slices(offsets, 1 << 20):
+            for i, j in slices(offsets, SLICE):
                 o = offsets[i : j + 1] - offsets[i]
                 key, at, _ = stretches(data[offsets[i] : offsets[j]], o, length, piece)
                 found.append((name_of(key, n_buckets), chunk[i + np.searchsorted(o, at, "right") - 1]))
@@ -256,7 +299,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, piece: int = PIECE,
         doc, data, offsets, _ = _chunk_texts(t)
         known, hot_keys = _known(hit.column("keys")), _known(hit.column("hot"))
         found = []
-        for i, j in slices(offsets, 1 << 20):
+        for i, j in slices(offsets, SLICE):
             lo, o = int(offsets[i]), offsets[i : j + 1] - offsets[i]
             part = data[lo : offsets[j]]
             key, at, n = stretches(part, o, length, piece)

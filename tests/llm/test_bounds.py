@@ -144,3 +144,24 @@ def test_tables_of_powers_follow_the_longest_text():
     p.get(1 << 20)
     up, down = p.get((1 << 20) + 5)
     assert len(p.up) < 1.5 * (1 << 20) and (up * down == 1).all() and up[3] == npwords.BASE**3
+
+
+def test_merges_get_repeated_strings_only(monkeypatch):
+    """Of stretches that share a piece, what no other document has isn't merged, nor what several have alike."""
+    rng = np.random.default_rng(11)
+    passages = [rng.bytes(n) for n in (20, 45, 50, 58, 80)]
+    texts = [rng.bytes(int(rng.integers(0, 60))) + passages[i % 5][: 80 if i % 7 else 55] + rng.bytes(int(rng.integers(0, 60))) for i in range(300)]
+    data, offsets = npwords.text_arrays(pa.array(texts, pa.binary()))
+    key, at, n = suffix_dedup.stretches(data, offsets, 50, 16)
+    doc, size = np.searchsorted(offsets, at, "right") - 1, n + 49
+    merged, merge = [], suffix_dedup.merge_shards
+    monkeypatch.setattr(suffix_dedup, "merge_shards", lambda text, *a: (merged.append(len(text)), merge(text, *a))[1])
+    who, first, many = suffix_dedup.lost_strings(key & suffix_dedup.MASK, doc, size, suffix_dedup.taken(data, at, size), 50, 16)
+    lost = {(int(doc[w]), int(at[w] + f + k - offsets[doc[w]])) for w, f, m in zip(who, first, many, strict=True) for k in range(m)}
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        strings = [t[k : k + 50] for k in range(len(t) - 49)]
+        want |= {(i, k) for k, x in enumerate(strings) if x in seen}
+        seen |= set(strings)
+    assert lost == want and len(want) > 1000
+    assert sum(merged) < 5000 < size.sum() // 5
