@@ -51,6 +51,22 @@ def test_common_small_sets_are_counted_in_place(spark, monkeypatch):
     assert far.filter("x < 60").count() > 500 and tiny.count() == 0
 
 
+def test_tables_of_common_sets_share_a_pass(spark, monkeypatch):
+    """Texts aren't read once for each table of common sets, and of such tables a shingle that few hold is found by its mark."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(2, 9)))) for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choice(words, rng.integers(30, 400)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(minhash.near_duplicates(df, minhash.Settings(tiny=0)).collect())
+    tables, passes, make, read = [], [], minhash.Tiny.of, minhash._sets_of
+    monkeypatch.setattr(minhash.Tiny, "of", staticmethod(lambda *a: tables.append(1) or make(*a)))
+    monkeypatch.setattr(minhash, "_sets_of", lambda docs, ids, s, then, schema: passes.append(schema.startswith("id long, n double")) or read(docs, ids, s, then, schema))
+    monkeypatch.setattr(minhash, "TABLE", 64)
+    assert sorted(minhash.near_duplicates(df).collect()) == want
+    assert len(tables) >= 4 and sum(passes) <= -(-len(tables) // 3)
+
+
 def _shuffled(spark, do):
     """What do() returns, and the bytes that it shuffled."""
 
